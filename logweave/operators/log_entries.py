@@ -9,8 +9,10 @@ chunk and no text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,23 +37,25 @@ def entry_fields(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([L.parse_entry(t or "") for t in text], columns=list(L.Entry._fields))
 
 
-def _clean(c: str):
+def clean_lines(c: str) -> Column:
     """Without colour codes and trailing blanks, line by line."""
     plain = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), L.ANSI, "")
     return F.regexp_replace(plain, r"[ \t\r\f\x0B]+(?=\n|\z)", "")
 
 
-def assemble(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def assemble(lines: DataFrame, chunk_lines: int = CHUNK_LINES, clean: Callable[[str], Column] = clean_lines, begins: Callable[[str], Column] = begins_entry) -> DataFrame:
     """(source, record_pos, line_count, text) of physical lines (source, line_no, line).
 
+    clean: what is kept of a line; begins: whether a cleaned line begins an entry.
+
     A line that begins an entry starts one, every other line continues the one
     before (the first line of a file begins one anyway).  Repeated rows count
     once; of different lines at one place the smallest text is taken; a null
     line is an empty one; rows without source or line_no are left out.
     """
     chunk = F.expr(f"(line_no - 1) div {int(chunk_lines)}").alias("_chunk")
-    rows = lines.where(F.col("source").isNotNull() & F.col("line_no").isNotNull()).select("source", chunk, F.col("line_no").cast("long").alias("line_no"), _clean("line").alias("_line"))
-    rows = rows.withColumn("_begins", begins_entry("_line"))
+    rows = lines.where(F.col("source").isNotNull() & F.col("line_no").isNotNull()).select("source", chunk, F.col("line_no").cast("long").alias("line_no"), clean("line").alias("_line"))
+    rows = rows.withColumn("_begins", begins("_line"))
     # the last beginning of each chunk, and from it of all chunks before: one row per chunk
     marks = rows.groupBy("source", "_chunk").agg(F.max(F.when(F.col("_begins"), F.col("line_no"))).alias("_last"), F.min("line_no").alias("_first"))
     before = Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +84,7 @@ def log_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
 
 def unsplit_entries(events: DataFrame) -> DataFrame:
     """The same for events with null ``template_id``: each ``body`` is one entry, once per ``event_id``; null bodies are empty ones."""
-    rows = events.where(F.col("template_id").isNull() & F.col("event_id").isNotNull()).select("event_id", "source", F.col("offset").alias("record_pos"), _clean("body").alias("text"))
+    rows = events.where(F.col("template_id").isNull() & F.col("event_id").isNotNull()).select("event_id", "source", F.col("offset").alias("record_pos"), clean_lines("body").alias("text"))
     once = rows.groupBy("event_id").agg(F.min(F.struct("source", "record_pos", "text")).alias("x")).select("x.*")
     return with_fields(once.withColumn("line_count", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")))
 
