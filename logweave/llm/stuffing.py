@@ -28,19 +28,32 @@ FUNCTION_WORDS = {
     "en": "a about after all also although am an and any are as at be because been before both but by can could did do does each for from had has have he her here his how i if in into is it its just last let like may me more most must my no nor not now of off on once one or other our out over own per please she should since so some such than that the their them then there these they this those through to too under until up us very was we were what when where which while who whom whose why will with without would you your".split(),
     "de": "aber alle als also am an auch auf aus bei beim bin bis bitte das dass dem den der des die doch durch ein eine einem einen einer eines er es für habe haben hat hatte ich ihm ihn ihnen ihr ihre im in ins ist ja kann kein keine man mehr mein meine mit nach nicht noch nur ob oder ohne schon sehr sein seine sich sie sind so über um und uns unser unter vom von vor war waren was weil wenn wer werden wie wir wird zu zum zur".split(),
     "es": "a al algo ante antes aunque como con cuando de del desde después donde el ella ellos en entre era es esta este esto está fue ha hay hasta la las le les lo los me mi mientras muy más nadie ni no nos o para pero por porque que quien se si sin sobre son su sus también tan te tiene todo todos tras tu un una uno unos y ya yo".split(),
-    "fr": "a à afin ai après au aux avant avec avoir car ce ceci cela ces cet cette chez comme dans de des donc dont du elle elles en est et été être eu il ils je la le les leur leurs lui l'on ma mais me mes moi mon même ne ni nos notre nous on ont ou où par pas pendant personne plus pour pourquoi qu que qui quoi sa sans se selon ses si son sont sous sur ta te tes toi ton tous tout très tu un une vos votre vous y".split(),
+    "fr": "a à afin ai après au aux avant avec avoir car ce ceci cela ces cet cette chez comme dans de des donc dont du elle elles en est et été être eu il ils je la le les leur leurs lui l'on ma mais me mes moi mon même ne ni nos notre nous on ont ou où par pendant personne plus pour pourquoi qu que qui quoi sa sans se selon ses si son sont sous sur ta te tes toi ton tous tout très tu un une vos votre vous y".split(),
 }
 _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 
 #: Symbols of the classes, in the order of their numbers.
-CLASSES = "^npfwCAdUHEKPb,.:;qo"
+CLASSES = "^npfwCAWdUHEKPb,.:;qo"
 _CODE = {c: i for i, c in enumerate(CLASSES)}
 V = len(CLASSES)
 
+#: Content words in a row, line breaks between them or not, from which on a lower-case word is one of a long string (class W).
+LONG_STRING = 5
+_CONTENT = np.isin(np.arange(V), [_CODE[c] for c in "wCAdKP"])
+_RESET = ~_CONTENT & (np.arange(V) != _CODE["n"])
+
+
+def _mark_strings(seq: np.ndarray) -> np.ndarray:
+    """Lower-case words deep inside a string of content words get a class of their own: a trigram alone cannot see so far."""
+    count = np.cumsum(_CONTENT[seq])
+    since = count - np.maximum.accumulate(np.where(_RESET[seq], count, 0))
+    return np.where((seq == _CODE["w"]) & (since >= LONG_STRING), _CODE["W"], seq)
+
+
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _EMAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+$")
 _CORE = re.compile(r"^([^\w#$€£%+\-]*)(.*?)([^\w%€$£+]*)$", re.S)
-_PRICE = re.compile(r"^(?:[A-Z]{3}|[$€£])?[+\-]?\d[\d.,]*(?:%|€|\$|£|EUR|USD|GBP)?$")
+_PRICE = re.compile(r"^(?:[A-Z]{3}|[$€£+\-])?\d[\d.,]*(?:%|€|\$|£|EUR|USD|GBP)?$")
 
 
 @lru_cache(maxsize=1 << 18)
@@ -92,7 +105,7 @@ _ORIGINAL = re.compile(r"^\s*(?:-{3,}\s*\w[^\n]*\w\s*-{3,}\s*$|_{8,}\s*$|(?:>\s*
 _DIGEST = re.compile(r"^\s*-{3}\s*message \d+\s*-{3}\s*$", re.I)
 
 
-def sequence(body: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class numbers, characters that each stands for, whether it is quoted mail) of a readable body.
 
     Quoted mail: lines with quote marks after an attribution line, and all that
@@ -106,7 +119,7 @@ def sequence(body: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     for line in body.split("\n"):
         tokens = line.split()
         if not tokens:
-            codes.append(b"\x02")
+            codes.append(bytes([_CODE["p"]]))
             chars.append(0)
             quoted.append(inside or below)
             continue
@@ -125,17 +138,18 @@ def sequence(body: str) -> tuple[bytes, np.ndarray, np.ndarray]:
             for _ in range(len(c) - 1):
                 chars.append(0)
                 quoted.append(q)
-        codes.append(b"\x01")
+        codes.append(bytes([_CODE["n"]]))
         chars.append(0)
         quoted.append(q)
         previous = line
-    return b"".join(codes), np.array(chars, dtype=np.int64), np.array(quoted, dtype=bool)
+    seq = np.frombuffer(b"".join(codes), dtype=np.uint8).astype(np.int64)
+    return _mark_strings(seq), np.array(chars, dtype=np.int64), np.array(quoted, dtype=bool)
 
 
 def _kinds(paragraph: np.ndarray) -> tuple[int, bool]:
     """(words, whether it is prose: sentences with function words, no links and tags) of a paragraph."""
     n = np.bincount(paragraph, minlength=V)
-    words = int(n[_CODE["f"]] + n[_CODE["w"]] + n[_CODE["C"]] + n[_CODE["A"]])
+    words = int(n[_CODE["f"] : _CODE["W"] + 1].sum())
     return words, bool(words >= 8 and n[_CODE["."]] >= 1 and n[_CODE["f"]] >= 0.2 * words and not n[_CODE["U"]] and not n[_CODE["H"]])
 
 
@@ -149,8 +163,8 @@ def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         seqs: list[np.ndarray] = []
         for text in pdf["text"]:
-            seq = np.frombuffer(sequence(own_body(text))[0], dtype=np.uint8).astype(np.int64)
-            paragraphs = np.split(seq, np.flatnonzero(seq == 2))
+            seq = sequence(own_body(text))[0]
+            paragraphs = np.split(seq, np.flatnonzero(seq == _CODE["p"]))
             kinds = [_kinds(p) for p in paragraphs]
             words = sum(w for w, _ in kinds)
             if words and sum(w for w, prose in kinds if prose) >= TRAIN_SHARE * words:
@@ -197,7 +211,7 @@ def stuffed_share(model: ProseModel, body: str, windows: tuple[int, ...] = WINDO
     total = int(chars.sum())
     if not total:
         return 0.0, 0.0
-    s = np.concatenate(([0, 0], np.frombuffer(seq, dtype=np.uint8).astype(np.int64)))
+    s = np.concatenate(([0, 0], seq))
     cost = model.cost[s[:-2] * V * V + s[1:-1] * V + s[2:]]
     own = ~quoted
     cost_own, chars_own = cost[own], chars[own]
@@ -205,7 +219,7 @@ def stuffed_share(model: ProseModel, body: str, windows: tuple[int, ...] = WINDO
     if not n:
         return 0.0, 0.0
     kind = s[2:][own]
-    sums = [np.concatenate(([0], np.cumsum(x))) for x in (cost_own, (kind >= _CODE["f"]) & (kind <= _CODE["A"]), kind == _CODE["f"])]
+    sums = [np.concatenate(([0], np.cumsum(x))) for x in (cost_own, (kind >= _CODE["f"]) & (kind <= _CODE["W"]), kind == _CODE["f"])]
     at, odd = np.arange(n), np.zeros(n, dtype=bool)
     for w in windows:
         a, z = np.maximum(0, at - w // 2), np.minimum(n, at + w // 2 + 1)
