@@ -65,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.verb == "scan":
         rules = classify.load_rules(a.rules) if a.rules else classify.DEFAULT_RULES
         base = files.read_table(spark, f"{a.baseline}/templates.parquet", "template_id") if a.baseline else None
-        done = scan.scan(spark, a.inputs, a.service, a.run_id, a.include_raw, rules=rules, baseline_ids=base, instances=a.instances)
+        done = scan.scan(spark, a.inputs, a.service, a.run_id, a.include_raw, stage=f"{a.out}/decoded.parquet", rules=rules, baseline_ids=base, instances=a.instances)
         print(json.dumps(scan.write(done, a.out), sort_keys=True))
     elif a.verb == "compare":
         left, right = (files.read_table(spark, f"{x}/templates.parquet") for x in (a.left, a.right))

@@ -49,17 +49,25 @@ def scan_events(events: DataFrame, run_id: str, service: str, rules: dict = clas
         names = clusters.groupBy(F.col("canonical_template_id").alias("_c")).agg(F.max("drain_template").alias("_t"))
         tpl = tpl.join(names, F.col("template_id") == F.col("_c"), "left").withColumn("normalized_template", F.coalesce("_t", "normalized_template")).drop("_c", "_t")
     full = templates.with_template_attributes(ev, tpl, {"classification": "unclassified", "classification_reason": None, "issue_kind": "unknown"})
-    marks = sequences.connectivity_marks(ev, ["source", "offset", F.col("_us").alias("ts_us")])
+    marks = sequences.connectivity_marks(ev.withColumnRenamed("_us", "ts_us"), ["source", "offset", "ts_us"])
     incidents = sequences.connectivity_incidents(marks, BY, "offset")
     return Scan(run_id, service, full.drop("_us", "service_instance_started_us"), tpl, tpl.where(classify.error_predicate()), sequences.instance_counts(ev, BY), incidents, clusters)
 
 
-def scan(spark: SparkSession, inputs: list[str], service: str = "default", run_id: str | None = None, include_raw: bool = False, strict: bool = False, **options) -> Scan:
-    """Scan of log files."""
+def scan(spark: SparkSession, inputs: list[str], service: str = "default", run_id: str | None = None, include_raw: bool = False, strict: bool = False, stage: str | None = None, **options) -> Scan:
+    """Scan of log files.
+
+    stage: where the decoded events are written once; the many results of a
+    scan then read them from there and do not parse the files again.
+    """
     now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     run_id = run_id or f"run_{now.replace(':', '').replace('-', '')}"
     lines = files.read_lines(spark, files.resolve_inputs(inputs))
-    return scan_events(ingest.decode(ingest.records(lines), service, run_id, now, include_raw, strict), run_id, service, **options)
+    events = ingest.decode(ingest.records(lines), service, run_id, now, include_raw, strict)
+    if stage:
+        files.write_table(events, stage)
+        events = spark.read.parquet(stage)
+    return scan_events(events, run_id, service, **options)
 
 
 def summary(s: Scan) -> dict:
