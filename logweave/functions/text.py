@@ -18,6 +18,7 @@ PORT = r"(\bport[=: ]|:)(\d{2,5})(/?)"
 PATH = r"/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+"
 HEX = r"\b0x[0-9a-fA-F]+\b"
 BLOBS = ((32, "<TRACE_ID>"), (24, "<OBJECT_ID>"), (16, "<SPAN_ID>"))
+SOME_BLOB = r"[0-9a-fA-F]{16}"
 NUMBER = r"(?<![A-Za-z0-9_.])-?\d+(?:\.\d+)?(?![A-Za-z0-9_.])"
 PREFIX_HEX = r"(?<![A-Za-z0-9_-])([A-Za-z]{2,15}_)[0-9a-fA-F]{6,40}(?![A-Za-z0-9_-])"
 LONG_ID = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9_-])"
@@ -31,8 +32,9 @@ SERVER_KINDS = (("gunicorn", "gunicorn"), ("granian", "granian"), ("kafka", "kaf
 
 
 def blob_pattern(n: int) -> str:
-    """A run of exactly n hex characters with the character on either side: of two runs one character apart only the first is found."""
-    return rf"(^|[^0-9a-fA-F])([0-9a-fA-F]{{{n}}})(\z|[^0-9a-fA-F])"
+    """A run of exactly n hex characters and the character after it; of two runs one character apart only the first is found,
+    since none may begin where the match before ended (``\\G``). Look-behind keeps the scan from stopping at every character."""
+    return rf"(?<![0-9a-fA-F])(?:^|(?!\G))([0-9a-fA-F]{{{n}}})([^0-9a-fA-F]|\z)"
 
 
 def normalize_steps() -> list[tuple[str, list[tuple[str, str]]]]:
@@ -45,7 +47,7 @@ def normalize_steps() -> list[tuple[str, list[tuple[str, str]]]]:
         (":", [(IPV6, "<IP>"), (PORT, "$1<PORT>$3")]),
         ("/", [(PATH, "<PATH>")]),
         ("0x", [(HEX, "<HEX>")]),
-        ("~[0-9]", [(blob_pattern(n), f"$1{token}$3") for n, token in BLOBS] + [(NUMBER, "<NUM>"), (PREFIX_HEX, "$1<HEX>"), (LONG_ID, "<ID>")]),
+        ("~[0-9]", [(blob_pattern(n), f"{token}$2") for n, token in BLOBS] + [(NUMBER, "<NUM>"), (PREFIX_HEX, "$1<HEX>"), (LONG_ID, "<ID>")]),
     ]
 
 
@@ -53,19 +55,29 @@ def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, ANSI, "")
 
 
+def _replaced(name: str, steps: list[tuple[str, str]]) -> Column:
+    c = F.col(name)
+    for pattern, token in steps:
+        c = F.regexp_replace(c, pattern, token)
+    return c
+
+
 def with_normalized(df: DataFrame, text: str, out: str = "normalized_template") -> DataFrame:
     """Add the template of a text column: variable parts replaced by placeholders. Null stays null.
 
     One column per gate, so each gate tests what the step before gave and no
     expression is evaluated twice.
     """
-    df = df.withColumn(out, strip_ansi(F.col(text)))
+    df = df.withColumn(out, F.when(F.contains(F.col(text), F.lit("\x1b")), strip_ansi(F.col(text))).otherwise(F.col(text)))
     for gate, steps in normalize_steps():
-        c = F.col(out)
-        hit = c.rlike(gate[1:]) if gate[0] == "~" else c.contains(gate)
-        for pattern, token in steps:
-            c = F.regexp_replace(c, pattern, token)
-        df = df.withColumn(out, F.when(hit, c).otherwise(F.col(out)))
+        if gate[0] != "~":
+            df = df.withColumn(out, F.when(F.col(out).contains(gate), _replaced(out, steps)).otherwise(F.col(out)))
+            continue
+        # the gate holds for the whole group as the text was before it; a blob is at least a run of hex characters
+        blobs = len(BLOBS)
+        df = df.withColumn("_gate", F.col(out).rlike(gate[1:]))
+        df = df.withColumn(out, F.when(F.col("_gate") & F.col(out).rlike(SOME_BLOB), _replaced(out, steps[:blobs])).otherwise(F.col(out)))
+        df = df.withColumn(out, F.when(F.col("_gate"), _replaced(out, steps[blobs:])).otherwise(F.col(out))).drop("_gate")
     return df.withColumn(out, F.regexp_replace(F.regexp_replace(F.col(out), r"^\s+|\s+\z", ""), r"\s+", " "))
 
 

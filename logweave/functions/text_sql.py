@@ -37,8 +37,8 @@ def normalized(source: str, text: str, keep: str) -> str:
             step = f"select {keep}, case when {hit} then {x} else t end t from ({step})"
             continue
         x = "t"
-        for p, token in steps[: len(T.BLOBS)]:
-            x = _replace(x, p, token)
+        for n, token in T.BLOBS:  # without look-around the character before is part of the match
+            x = _replace(x, rf"(^|[^0-9a-fA-F])([0-9a-fA-F]{{{n}}})(\z|[^0-9a-fA-F])", f"$1{token}$3")
         step = f"select {keep}, {hit} digits, case when {hit} then {x} else t end t from ({step})"
         step = f"select {keep}, digits, case when digits then {NUMBERS} else t end t from ({step})"
         step = f"select {keep}, case when digits then {MASKS} else t end t from ({step})"

@@ -9,7 +9,7 @@ from logweave.functions import ids, text, text_sql
 from logweave.operators import classify, dashboards, diff, drain, graph, registry, sequences, templates
 from logweave.operators.instants import clean_name
 from logweave.plans import model
-from logweave.sources.tables import table
+from logweave.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query(f"""select event_id, "offset" line_offset, t normalized from ({text_sql.normalized("log_events", "body", 'event_id, "offset"')})""")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     """Templates of all bodies."""
-    df = text.with_normalized(table(spark, folder, "log_events", "event_id", "offset", "body"), "body", "normalized")
+    df = text.with_normalized(spread(table(spark, folder, "log_events", "event_id", "offset", "body")), "body", "normalized")
     return df.select("event_id", F.col("offset").alias("line_offset"), "normalized")
 
 
@@ -51,7 +51,7 @@ h as (select n.*, {text_sql.cut_headline("coalesce(f.first_t, n.t)")} headline,
   exc exception_type, {text_sql.error_kind("body", "severity_text", "exc")} error_kind from h""")
 def template_identity(spark: SparkSession, folder: str) -> DataFrame:
     """Headline, stable template id, exception class and error kind of every event."""
-    df = templates.identify(model.log_events(spark, folder, "event_id", "offset", "service_name", "severity_text", "body"))
+    df = templates.identify(spread(model.log_events(spark, folder, "event_id", "offset", "service_name", "severity_text", "body")))
     return df.select("event_id", F.col("offset").alias("line_offset"), "headline", "template_id", "exception_type", "error_kind")
 
 

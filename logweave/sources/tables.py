@@ -9,3 +9,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """``folder/name.parquet``, pruned to ``columns`` when given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that costs far more per row than moving it.
+
+    Only a scan with fewer partitions than cores is redistributed (a small
+    table in one file); larger ones are left as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() < cores else df
