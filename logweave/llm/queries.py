@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import leaks, packing, runs, stuffing
-from logweave.sources.tables import table
+from logweave.sources.tables import spread, table
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,11 +17,11 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id")
+    return leaks.leaked_items(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffing.stuffed_pages(table(spark, folder, "documents"))
+    return stuffing.stuffed_pages(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p7_pack, p8_found, p9_found)}
