@@ -1,7 +1,8 @@
 """Problem 3: per-key results where a few keys hold most rows.
 
 Rows are range-partitioned and sorted by (key, member), so the ranges are of
-equal size whatever the keys are: a hot key is cut into many ranges.  In each
+equal size whatever the keys are: a hot key is cut into many ranges, and copies
+of one row are combined where they are read.  In each
 range the rows of a key are counted and numbered and processed as chunks of at
 most :data:`CHUNK_ROWS` rows; prefix sums over the chunk summaries (a few
 values per chunk) give each chunk its exact offset within its key, and the
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweave.operators.combine import combine_batches
 from logweave.operators.instants import clean_name
 
 CHUNK_ROWS = 1 << 16
@@ -31,22 +34,23 @@ def _chunks(n_keys: int, chunk_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         key, seq = None, 0
-        rows = distinct = 0
+        rows = distinct = held = 0  # rows of the chunk with copies, its different members, its rows as they are
         first = last = None
         out: list[tuple] = []
 
         def close():
-            nonlocal rows, distinct, seq
-            if rows:
+            nonlocal rows, distinct, held, seq
+            if held:
                 out.append((*key, part, seq, rows, distinct, first, last))
                 seq += 1
-            rows = distinct = 0
+            rows = distinct = held = 0
 
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
             member = b.column(n_keys)
+            before = np.concatenate(([0], np.cumsum(b.column(n_keys + 1).to_numpy(zero_copy_only=False))))  # rows, copies counted, in front of each
             # positions where a key, or a member of the same key, differs from the row before
             new_key = None
             for i in range(n_keys):
@@ -62,16 +66,17 @@ def _chunks(n_keys: int, chunk_rows: int):
                     key, seq, last = k, 0, None
                 at = a
                 while at < z:
-                    upto = min(z, at + chunk_rows - rows)
+                    upto = min(z, at + chunk_rows - held)
                     head = member[at].as_py()
                     inner = int((steps[upto - 2] if upto > 1 else 0) - (steps[at - 1] if at else 0)) if upto - at > 1 else 0
-                    distinct += inner + (1 if rows == 0 or head != last else 0)
-                    if rows == 0:
+                    distinct += inner + (1 if held == 0 or head != last else 0)
+                    if held == 0:
                         first = head
                     last = member[upto - 1].as_py()
-                    rows += upto - at
+                    held += upto - at
+                    rows += int(before[upto] - before[at])
                     at = upto
-                    if rows == chunk_rows:
+                    if held == chunk_rows:
                         close()
             if len(out) >= 10_000:
                 yield _batch(out)
@@ -98,7 +103,7 @@ def key_chunks(df: DataFrame, keys: Sequence[Column], member: Column, chunk_rows
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*[k.cast("string").alias(n) for k, n in zip(keys, names)], member.cast("string").alias("m")).na.drop()
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(n, T.LongType()) for n in ("part", "seq", "n_rows", "n_members")] + [T.StructField(n, T.StringType()) for n in ("first", "last")])
-    ranged = rows.repartitionByRange(*names, "m").sortWithinPartitions(*names, "m")
+    ranged = combine_batches(rows, [*names, "m"], count="c").repartitionByRange(*names, "m").sortWithinPartitions(*names, "m")
     chunks = ranged.mapInArrow(_chunks(len(names), chunk_rows), schema)
     order = Window.partitionBy(*names).orderBy("part", "seq")
     return chunks.withColumn("row_offset", F.coalesce(F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("joined", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions import layouts as L
+from logweave.operators.combine import combine_batches
 
 #: Lines per chunk of a file: bounds every group of the assembly.
 CHUNK_LINES = 4096
@@ -79,7 +80,7 @@ def with_fields(entries: DataFrame) -> DataFrame:
 
 def log_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """One row per entry of physical lines: source, record_pos, line_count and the fields."""
-    return with_fields(assemble(lines, chunk_lines))
+    return with_fields(assemble(combine_batches(lines, ["source", "line_no", "line"]), chunk_lines))
 
 
 def unsplit_entries(events: DataFrame) -> DataFrame:

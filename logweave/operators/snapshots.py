@@ -45,10 +45,9 @@ def snapshot_changes(snapshots: DataFrame, group: str, key: str, snapshot: str,
     in_order = Window.partitionBy("_g").orderBy("_s")
     calendar = rows.select("_g", "_s").distinct().select("_g", "_s", F.row_number().over(in_order).alias("_no"), F.lead("_s").over(in_order).alias("_after"))
     dated = rows.where("_k is not null").join(calendar, ["_g", "_s"])
-    ranged = dated.repartitionByRange("_g", "_k")
-    # in each range: the row that holds in each snapshot, then the merge of neighbours; both reuse the ranges
-    newest = Window.partitionBy("_g", "_k").orderBy("_s", F.col("_d").desc_nulls_last(), F.col("_v").desc())
-    holds = ranged.withColumn("_prev_s", F.lag("_s").over(newest)).where("_prev_s is null or _prev_s < _s").drop("_prev_s")
+    # the row that holds in each snapshot: combined on the map side, so copies of a row are no hot group
+    holds = dated.groupBy("_g", "_k", "_s", "_no", "_after").agg(F.max(F.struct("_d", "_v")).alias("_m")).select("*", F.col("_m._v").alias("_v")).repartitionByRange("_g", "_k")
+    # in each range the merge of neighbours, which needs no further shuffle
     walk = Window.partitionBy("_g", "_k").orderBy("_s")
     pair = holds.select("*", F.lag("_no").over(walk).alias("_pn"), F.lag("_v").over(walk).alias("_pv"), F.lead("_no").over(walk).alias("_nn"))
     consecutive = F.col("_pn").eqNullSafe(F.col("_no") - 1)

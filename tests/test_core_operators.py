@@ -61,7 +61,7 @@ def test_key_counts(spark, chunk):
     assert {tuple(r) for r in got.collect()} == {("s", "t", 401, 97), ("r", "u", 1, 1)}
     assert {tuple(r) for r in key_counts.event_counts(df).collect()} == {("s", "t", 97), ("r", "u", 1)}
     offsets = key_counts.key_chunks(df, [F.lower(F.trim("service_name")), F.col("template_id")], F.col("event_id"), chunk).where("k0 = 's'").orderBy("row_offset").collect()
-    assert [c.row_offset for c in offsets] == [sum(x.n_rows for x in offsets[:i]) for i in range(len(offsets))] and all(c.n_rows <= chunk for c in offsets)
+    assert [c.row_offset for c in offsets] == [sum(x.n_rows for x in offsets[:i]) for i in range(len(offsets))] and all(c.n_members <= chunk for c in offsets)
 
 
 def test_key_counts_of_no_rows(spark):
