@@ -107,7 +107,7 @@ def pack(items: DataFrame, capacities: DataFrame, shard_items: int = SHARD_ITEMS
     Capacities that are null or less than 1 are left out.
     """
     rows = items.where("doc_id is not null and n_tokens >= 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"))
-    n = rows.count()
+    n = items.where("doc_id is not null").count()  # for the number of shards only: reads no text
     shards = max(1, round(n / shard_items))
     # the capacities are the query side, a few rows: each item once per capacity
     given = capacities.where("capacity_id is not null and capacity_tokens >= 1").select("capacity_id", "capacity_tokens").distinct().orderBy("capacity_id").limit(MAX_CAPACITIES + 1).collect()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions.instants import parse_instants
+from logweave.operators.combine import combine_batches
 from logweave.operators.instants import clean_name, service_zones
 
 #: Share of word positions in which two templates must agree to be near-identical.
@@ -32,7 +33,7 @@ _NONE = np.iinfo(np.int64).max
 
 def near(a: list[str] | None, b: list[str] | None, agree: float = AGREE) -> bool:
     """Whether two word lists have the same length and agree in enough positions; null and empty ones never do."""
-    return bool(a and b and len(a) == len(b) and sum(x == y for x, y in zip(a, b)) >= agree * len(a))
+    return bool(a and b and len(a) == len(b) and sum(x == y for x, y in zip(a, b)) >= agree * len(a) - 1e-9)
 
 
 def _words(text) -> list[str] | None:
@@ -127,7 +128,7 @@ def _linked(agree: float) -> Column:
     a = F.split(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), " ")
     b = F.split(F.lower(F.trim(F.regexp_replace("first_text", r"\s+", " "))), " ")
     equal = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    alike = (F.size(a) == F.size(b)) & (F.trim("first_text") != "") & (equal >= agree * F.size(a))
+    alike = (F.size(a) == F.size(b)) & (F.trim("first_text") != "") & (equal >= agree * F.size(a) - 1e-9)
     return F.coalesce((F.col("_part") < F.col("part")) & ((F.col("_template") == F.col("first_template")) | F.coalesce(alike, F.lit(False))), F.lit(False))
 
 
@@ -144,6 +145,7 @@ def event_runs(events: DataFrame, services: DataFrame, agree: float = AGREE, min
     zones = service_zones(services).select(F.col("_service").alias("service"), F.col("_zone").alias("zone"), F.col("_order").alias("order"))
     rows = rows.join(zones, "service", "left")
     key = ["service", "source", "offset", "event_id"]
+    rows = combine_batches(rows, [*key, "template_id", "text", "ts", "zone", "order"], least=["observed"])
     ranged = rows.repartitionByRange(partitions, *key) if partitions else rows.repartitionByRange(*key)
     runs = ranged.sortWithinPartitions(*key, "ts", "observed").mapInPandas(_encode(agree, min_events), _EDGE)
     edges = runs.where("edge")

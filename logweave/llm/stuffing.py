@@ -105,6 +105,15 @@ _ORIGINAL = re.compile(r"^\s*(?:-{3,}\s*\w[^\n]*\w\s*-{3,}\s*$|_{8,}\s*$|(?:>\s*
 _DIGEST = re.compile(r"^\s*-{3}\s*message \d+\s*-{3}\s*$", re.I)
 
 
+#: Tokens of this length are not words: they are classed by what they hold, and not remembered.
+LONG_TOKEN = 256
+_PARAGRAPH, _LINE_END = bytes([_CODE["p"]]), bytes([_CODE["n"]])
+
+
+def _long_token(token: str) -> bytes:
+    return bytes([_CODE["U" if "://" in token else "o"]])
+
+
 def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class numbers, characters that each stands for, whether it is quoted mail) of a readable body.
 
@@ -112,16 +121,16 @@ def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     follows a header block of an original message.
     """
     codes: list[bytes] = []
-    chars: list[int] = []
-    quoted: list[bool] = []
+    lengths: list[int] = []  # of tokens; 0 for line ends
+    spans: list[tuple[int, bool]] = []  # tokens of a line, whether it is quoted
     inside = below = False
     previous = ""
     for line in body.split("\n"):
         tokens = line.split()
         if not tokens:
-            codes.append(bytes([_CODE["p"]]))
-            chars.append(0)
-            quoted.append(inside or below)
+            codes.append(_PARAGRAPH)
+            lengths.append(0)
+            spans.append((1, inside or below))
             continue
         if _QUOTED.match(line):
             inside = inside or bool(_ATTRIBUTION.search(previous))
@@ -129,32 +138,42 @@ def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inside = False
             if not below and _ORIGINAL.match(line) and not _DIGEST.match(line):
                 below = True
-        q = inside or below
-        for t in tokens:
-            c = classes_of(t) if len(t) < 256 else bytes([_CODE["U" if "://" in t else "o"]])
-            codes.append(c)
-            chars.append(len(t))
-            quoted.append(q)
-            for _ in range(len(c) - 1):
-                chars.append(0)
-                quoted.append(q)
-        codes.append(bytes([_CODE["n"]]))
-        chars.append(0)
-        quoted.append(q)
+        codes.extend(map(classes_of, tokens) if len(line) < LONG_TOKEN else [classes_of(t) if len(t) < LONG_TOKEN else _long_token(t) for t in tokens])
+        codes.append(_LINE_END)
+        lengths.extend(map(len, tokens))
+        lengths.append(0)
+        spans.append((len(tokens) + 1, inside or below))
         previous = line
+    symbols = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+    chars = np.zeros(int(symbols.sum()), dtype=np.int64)
+    chars[np.cumsum(symbols) - symbols] = lengths
+    n, quoted = np.array([x for x, _ in spans]), np.array([x for _, x in spans], dtype=bool)
     seq = np.frombuffer(b"".join(codes), dtype=np.uint8).astype(np.int64)
-    return _mark_strings(seq), np.array(chars, dtype=np.int64), np.array(quoted, dtype=bool)
+    return _mark_strings(seq), chars, np.repeat(np.repeat(quoted, n), symbols)
 
 
-def _kinds(paragraph: np.ndarray) -> tuple[int, bool]:
-    """(words, whether it is prose: sentences with function words, no links and tags) of a paragraph."""
-    n = np.bincount(paragraph, minlength=V)
-    words = int(n[_CODE["f"] : _CODE["W"] + 1].sum())
-    return words, bool(words >= 8 and n[_CODE["."]] >= 1 and n[_CODE["f"]] >= 0.2 * words and not n[_CODE["U"]] and not n[_CODE["H"]])
+_TABLE = np.zeros((4, V), dtype=np.int64)
+for _row, _classes in enumerate(("fwCAW", "f", ".", "UH")):  # words, function words, sentence ends, links and tags
+    _TABLE[_row, [_CODE[c] for c in _classes]] = 1
+
+
+def _learnable(seq: np.ndarray) -> np.ndarray | None:
+    """The paragraphs without links and tags of a text that is mostly prose; None of others.
+
+    Prose are paragraphs of at least eight words and a sentence end with a
+    share of function words.
+    """
+    starts = np.unique(np.concatenate(([0], np.flatnonzero(seq == _CODE["p"]))))
+    words, function, ends, links = np.add.reduceat(_TABLE[:, seq], starts, axis=1)
+    prose = (words >= 8) & (ends >= 1) & (function >= FUNCTION_SHARE * words) & (links == 0)
+    if not words.sum() or words[prose].sum() < TRAIN_SHARE * words.sum():
+        return None
+    return seq[np.repeat(links == 0, np.diff(np.append(starts, len(seq))))]
 
 
 #: Share of the words in prose paragraphs from which the model learns from a text: its greetings and signatures belong to prose.
 TRAIN_SHARE = 0.4
+_PAD = np.zeros(2, dtype=np.int64)
 
 
 def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,13 +183,11 @@ def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seqs: list[np.ndarray] = []
         for text in pdf["text"]:
             seq = sequence(own_body(text))[0]
-            paragraphs = np.split(seq, np.flatnonzero(seq == _CODE["p"]))
-            kinds = [_kinds(p) for p in paragraphs]
-            words = sum(w for w, _ in kinds)
-            if words and sum(w for w, prose in kinds if prose) >= TRAIN_SHARE * words:
-                seqs.extend(((0, 0), *(p for p in paragraphs if not np.isin(p, (_CODE["U"], _CODE["H"])).any())))
+            kept = _learnable(seq)
+            if kept is not None:
+                seqs.extend((_PAD, kept))
         if seqs:
-            all_ = np.concatenate([np.asarray(x, dtype=np.int64) for x in seqs])
+            all_ = np.concatenate(seqs)
             tri = all_[:-2] * V * V + all_[1:-1] * V + all_[2:]
             counts += np.bincount(tri[all_[2:] != 0], minlength=V**3)  # no trigram ends in the padding
     at = np.flatnonzero(counts)
