@@ -66,7 +66,8 @@ def assemble(lines: DataFrame, chunk_lines: int = CHUNK_LINES, clean: Callable[[
     to_here = Window.partitionBy(*place).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     owned = once.select(*place, "line_no", F.col("x._line").alias("_line"), F.max(F.when(F.col("x._begins"), F.col("line_no"))).over(to_here).alias("_own"))
     pieces = owned.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_line"))), lambda p: p["_line"]), "\n").alias("text"))
-    pieces = pieces.join(marks, place, "left").withColumn("record_pos", F.coalesce("_own", "_owner", "_file_first"))
+    # every chunk has its mark; with an inner join both branches below read the same shuffle
+    pieces = pieces.join(marks, place).withColumn("record_pos", F.coalesce("_own", "_owner", "_file_first"))
     open_ended = F.col("_own").isNull() | (F.col("_own") == F.col("_last"))
     done = pieces.where(~open_ended).select("source", "record_pos", F.col("n").alias("line_count"), "text")
     parts = pieces.where(open_ended).groupBy("source", "record_pos").agg(F.sum("n").alias("line_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"]), "\n").alias("text"))

@@ -38,3 +38,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = "file://" + os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     sc.setCheckpointDir(path)
     return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once: they need not have it installed, nor share the driver's folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_logweave_shipped", False):
+        return
+    import tempfile
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="logweave-"), "logweave.zip")  # on the driver only: executors fetch it from there
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("logweave", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._logweave_shipped = True

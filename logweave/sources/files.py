@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.session import ship
+
 #: Files up to this size are read whole; larger ones are split.
 WHOLE_FILE_BYTES = 64 << 20
 
@@ -41,6 +43,7 @@ def read_lines(spark: SparkSession, paths: Sequence[str], whole_file_bytes: int
     numbered where they are read, and the number of lines in the splits before
     it (one row per split) is added, so no text is moved to number it.
     """
+    ship(spark)
     size = lambda p: os.path.getsize(p) if os.path.exists(p) else whole_file_bytes + 1
     small, large = [p for p in paths if size(p) <= whole_file_bytes], [p for p in paths if size(p) > whole_file_bytes]
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweave.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """``folder/name.parquet``, pruned to ``columns`` when given."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
