@@ -18,7 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, for work that costs far more per row than moving it.
 
     Only a scan with fewer partitions than cores is redistributed (a small
-    table in one file); larger ones are left as they are read.
+    table in one file); larger ones are left as they are read.  For scans and
+    projections only: what is shuffled already is spread already.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
