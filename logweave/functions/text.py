@@ -66,7 +66,8 @@ def with_normalized(df: DataFrame, text: str, out: str = "normalized_template")
     """Add the template of a text column: variable parts replaced by placeholders. Null stays null.
 
     One column per gate, so each gate tests what the step before gave and no
-    expression is evaluated twice.
+    expression is evaluated twice.  Write or checkpoint the result before
+    filtering on it: a filter is pushed below the columns and repeats them.
     """
     df = df.withColumn(out, F.when(F.contains(F.col(text), F.lit("\x1b")), strip_ansi(F.col(text))).otherwise(F.col(text)))
     for gate, steps in normalize_steps():

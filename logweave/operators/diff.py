@@ -152,3 +152,37 @@ def most_similar(templates: DataFrame, query: str, k: int = 5, min_similarity: f
     """The k templates most like a text."""
     q = text.shingles(F.lit(query))
     return templates.withColumn("similarity", text.jaccard(text.shingles(F.col("normalized_template")), q)).where(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), "template_id").limit(k)
+
+
+def with_lineage(findings: DataFrame, texts: DataFrame, baseline: DataFrame, min_similarity: float = 0.5) -> DataFrame:
+    """Findings with predecessor_template_id and similarity_score; a new template with a predecessor is an ``evolved_template``.
+
+    texts: (run_id, template_id, normalized_template).  The predecessor is the
+    most similar baseline template of the same cohort and severity, of equal
+    ones that with the smallest id.
+    """
+    group = ("service_name", "scenario", "severity_text")
+    new = findings.where("kind = 'new_template'").select("run_id", *group, "template_id").join(texts.select("run_id", "template_id", "normalized_template"), ["run_id", "template_id"])
+    side = lambda d: d.select(F.col("template_id").alias("id"), F.col("normalized_template").alias("text"), *group).distinct()
+    pairs = similar_pairs(side(new), side(baseline), min_similarity, group)
+    w = Window.partitionBy("left_id", *group).orderBy(F.desc("similarity"), "right_id")
+    best = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*group, F.col("left_id").alias("template_id"), F.lit("new_template").alias("kind"), F.col("right_id").alias("predecessor_template_id"), F.col("similarity").alias("similarity_score"))
+    out = findings.join(best, [*group, "template_id", "kind"], "left")
+    return out.withColumn("kind", F.when(F.col("predecessor_template_id").isNotNull(), "evolved_template").otherwise(F.col("kind")))
+
+
+def connectivity_findings(incidents: DataFrame, runs: DataFrame) -> DataFrame:
+    """All incidents of a run as findings of kind ``connectivity_regression``."""
+    r = runs.select("run_id", F.col("service_name").alias("_service"), "scenario")
+    return incidents.drop("service_name").join(r, "run_id").select("run_id", F.col("_service").alias("service_name"), "scenario", F.lit("connectivity_regression").alias("kind"), "dependency", "down_at", "up_at", "duration_seconds")
+
+
+def editor_universe(templates: DataFrame, baseline: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Templates of a run, a baseline and overrides (all with service_name, scenario, template_id): where each is known, and the first text and severity."""
+    key = ["service_name", "scenario", "template_id"]
+    t = templates.groupBy(*key).agg(F.min(F.struct("normalized_template", "severity_text")).alias("_t"), F.sum("event_count").alias("observed_count"))
+    b = baseline.select(*key, F.struct("normalized_template", "severity_text").alias("_b"), "mean_count")
+    o = overrides.groupBy(*key).agg(F.min("decision").alias("decision"))
+    j = t.join(b, key, "full").join(o, key, "full")
+    first = lambda c: F.coalesce(F.col(f"_t.{c}"), F.col(f"_b.{c}")).alias(c)
+    return j.select(*key, first("normalized_template"), first("severity_text"), "observed_count", "mean_count", "decision")

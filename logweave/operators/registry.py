@@ -89,3 +89,14 @@ def snapshot_status(current: DataFrame, known: DataFrame) -> DataFrame:
     """Whether a captured source (service_name, container, fingerprint) is known: same_snapshot, same_container_new_logs or new_container."""
     seen = known.groupBy("service_name", "container").agg(F.collect_set("fingerprint").alias("_prints"))
     return current.join(seen, ["service_name", "container"], "left").withColumn("snapshot_status", F.when(F.col("_prints").isNull(), "new_container").when(F.array_contains("_prints", F.col("fingerprint")), "same_snapshot").otherwise("same_container_new_logs")).drop("_prints")
+
+
+def previous_runs(runs: DataFrame) -> DataFrame:
+    """The run before each run of its service and scenario by (created_at, run_id); null for the first."""
+    w = Window.partitionBy("service_name", "scenario").orderBy("created_at", "run_id")
+    return runs.select("run_id", F.lag("run_id").over(w).alias("previous_run_id"))
+
+
+def overview(indexed: DataFrame, streamed: DataFrame) -> DataFrame:
+    """Services of the index and of the stream together (service_name, then the columns of either side)."""
+    return indexed.join(streamed, "service_name", "full")

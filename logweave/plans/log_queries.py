@@ -9,6 +9,7 @@ from logweave.functions import ids, text, text_sql
 from logweave.operators import classify, dashboards, diff, drain, graph, registry, sequences, templates
 from logweave.operators.instants import clean_name
 from logweave.plans import model
+from logweave.session import materialised
 from logweave.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -420,8 +421,16 @@ union all select r.run_id, r.service_name, r.scenario, b.template_id, 'missing_t
   where not exists (select 1 from j where j.run_id = r.run_id and j.template_id = b.template_id))"""
 
 
-def _findings(spark: SparkSession, folder: str) -> DataFrame:
-    return diff.diff_findings(model.run_templates(spark, folder), model.runs(spark, folder), _baseline(spark, folder))
+def _base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Templates of the runs (read by many parts, so written once), runs, baseline."""
+    rt, runs = materialised(model.run_templates(spark, folder)), model.runs(spark, folder)
+    return rt, runs, registry.baseline(rt, runs, MIN_GREEN)
+
+
+def _found(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same, and the findings."""
+    rt, runs, base = _base(spark, folder)
+    return rt, runs, base, materialised(diff.diff_findings(rt, runs, base))
 
 
 _ROUND = "round(mean_count, 6) as mean_count, round(delta_factor, 6) as delta_factor, round(z_score, 6) as z_score"
@@ -430,7 +439,7 @@ _ROUND = "round(mean_count, 6) as mean_count, round(delta_factor, 6) as delta_fa
 @query(f"select * replace ({_ROUND}) from {FINDINGS_SQL}")
 def diff_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of every run against the baseline of its cohort."""
-    return rounded(_findings(spark, folder), "mean_count", "delta_factor", "z_score")
+    return rounded(diff.diff_findings(*_base(spark, folder)), "mean_count", "delta_factor", "z_score")
 
 
 #: Decisions for the check: by the first character of the template id.
@@ -438,12 +447,16 @@ _OVERRIDES = f"""(select distinct service_name, scenario, template_id, case when
   union select distinct service_name, scenario, template_id, 'banned' from {FINDINGS_SQL} where kind = 'new_template' and template_id >= 'a')"""
 
 
-def _overridden(spark: SparkSession, folder: str) -> DataFrame:
-    found = _findings(spark, folder)
+def _decisions(base: DataFrame, found: DataFrame) -> DataFrame:
     key = ["service_name", "scenario", "template_id"]
-    base = _baseline(spark, folder).where("template_id < '8'").select(*key, F.when(F.col("template_id") < "4", "pinned").otherwise("banned").alias("decision"))
+    first = base.where("template_id < '8'").select(*key, F.when(F.col("template_id") < "4", "pinned").otherwise("banned").alias("decision"))
     more = found.where("kind = 'new_template' and template_id >= 'a'").select(*key, F.lit("banned").alias("decision"))
-    return diff.apply_overrides(found, base.unionByName(more).distinct())
+    return first.unionByName(more).distinct()
+
+
+def _overridden(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, base, found = _found(spark, folder)
+    return diff.apply_overrides(found, _decisions(base, found))
 
 
 OVERRIDDEN_SQL = f"""(with f as (select * from {FINDINGS_SQL}), o as (select service_name, scenario, template_id, min(decision) decision from {_OVERRIDES} group by all),
@@ -496,6 +509,53 @@ def lineage_topk(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(diff.most_similar(_templates(spark, folder), _PROBE), "similarity").select("template_id", "similarity")
 
 
+@query(f"""with f as (select * from {FINDINGS_SQL}), n as (select distinct f.service_name, f.scenario, f.severity_text, f.template_id, t.normalized_template x from f join {_RT} t on t.run_id = f.run_id and t.template_id = f.template_id where kind = 'new_template'),
+a as (select *, {text_sql.shingles("x")} s from n), b as (select service_name, scenario, severity_text, template_id, {text_sql.shingles("normalized_template")} s from {BASELINE_SQL}),
+p as (select a.service_name, a.scenario, a.severity_text, a.template_id, b.template_id r, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) j from a join b on a.service_name = b.service_name and a.scenario = b.scenario and a.severity_text = b.severity_text and a.template_id <> b.template_id),
+q as (select * from p where j > 0.5 qualify row_number() over (partition by service_name, scenario, severity_text, template_id order by j desc, r) = 1)
+select f.run_id, f.template_id, case when f.kind = 'new_template' and q.r is not null then 'evolved_template' else f.kind end kind, case when f.kind = 'new_template' then q.r end predecessor_template_id, case when f.kind = 'new_template' then round(q.j, 6) end similarity_score
+from f left join q on q.service_name = f.service_name and q.scenario = f.scenario and q.severity_text = f.severity_text and q.template_id = f.template_id""")
+def diff_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings with the likely predecessors of new templates."""
+    rt, _, base, found = _found(spark, folder)
+    out = diff.with_lineage(found, rt.select("run_id", "template_id", "normalized_template"), materialised(base))
+    return rounded(out.select("run_id", "template_id", "kind", "predecessor_template_id", "similarity_score"), "similarity_score")
+
+
+@query(f"""select r.run_id, r.service_name, r.scenario, 'connectivity_regression' kind, i.dependency, i.down_at, i.up_at, i.duration_seconds from connectivity_incidents i join {_RUNS} r on r.run_id = i.run_id""")
+def connectivity_regressions(spark: SparkSession, folder: str) -> DataFrame:
+    i = table(spark, folder, "connectivity_incidents", "run_id", "service_name", "dependency", "down_at", "up_at", "duration_seconds")
+    return diff.connectivity_findings(i, model.runs(spark, folder))
+
+
+@query(f"""with t as (select r.service_name, r.scenario, t.template_id, min(struct_pack(a := coalesce(normalized_template, ''), b := coalesce(severity_text, ''))) x, cast(sum(t.event_count) as bigint) observed_count from {_RT} t join {_RUNS} r on r.run_id = t.run_id where r.status = 'red' group by all),
+o as (select service_name, scenario, template_id, min(decision) decision from {_OVERRIDES} group by all)
+select coalesce(t.service_name, b.service_name, o.service_name) service_name, coalesce(t.scenario, b.scenario, o.scenario) scenario, coalesce(t.template_id, b.template_id, o.template_id) template_id,
+  coalesce(t.x.a, b.normalized_template) normalized_template, coalesce(t.x.b, b.severity_text) severity_text, observed_count, round(mean_count, 6) mean_count, decision
+from t full join {BASELINE_SQL} b on b.service_name = t.service_name and b.scenario = t.scenario and b.template_id = t.template_id
+full join o on o.service_name = coalesce(t.service_name, b.service_name) and o.scenario = coalesce(t.scenario, b.scenario) and o.template_id = coalesce(t.template_id, b.template_id)""")
+def baseline_editor(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates of red runs, of the baseline and of decisions side by side."""
+    rt, runs, base, found = _found(spark, folder)
+    r = runs.where("status = 'red'").select("run_id", F.col("service_name").alias("_s"), "scenario")
+    seen = rt.drop("service_name").join(r, "run_id").withColumnRenamed("_s", "service_name")
+    return rounded(diff.editor_universe(seen, base, _decisions(base, found)), "mean_count")
+
+
+@query(f"select run_id, lag(run_id) over (partition by service_name, scenario order by created_at, run_id) previous_run_id from {_RUNS}")
+def previous_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return registry.previous_runs(model.runs(spark, folder))
+
+
+@query(f"""select coalesce(i.service_name, s.service_name) service_name, i.runs, s.lines, s.chars from (select service_name, count(*) runs from {_RUNS} group by all) i
+  full join (select lower(trim(split_part(source, '/', 2))) service_name, count(*) as lines, sum(length(line)) chars from raw_lines group by all) s on s.service_name = i.service_name""")
+def service_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """Indexed runs and raw lines of each service."""
+    indexed = model.runs(spark, folder).groupBy("service_name").agg(F.count(F.lit(1)).alias("runs"))
+    lines = table(spark, folder, "raw_lines", "source", "line").groupBy(clean_name(F.split("source", "/")[1]).alias("service_name")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return registry.overview(indexed, lines)
+
+
 # ------------------------------------------------------------------ graphs and dashboards
 
 _INC = "(select run_id, lower(trim(service_name)) service_name, lower(trim(dependency)) dependency, duration_seconds from connectivity_incidents)"
@@ -529,7 +589,7 @@ select k.service_name, k.scenario, r.run_id, k.template_id, coalesce(p.event_cou
   when coalesce(p.event_count, 0) = b.mean_count then 0.0 when coalesce(p.event_count, 0) > b.mean_count then {_INF} else -{_INF} end, 6) z, b.mean_count is null is_novel
 from k join r on r.service_name = k.service_name and r.scenario = k.scenario left join p on p.run_id = r.run_id and p.template_id = k.template_id left join b on b.service_name = k.service_name and b.scenario = k.scenario and b.template_id = k.template_id""")
 def heatmap(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(dashboards.heatmap(model.run_templates(spark, folder), model.runs(spark, folder), _baseline(spark, folder)), "z")
+    return rounded(dashboards.heatmap(*_base(spark, folder)), "z")
 
 
 _PLACED = f"(select t.template_id, t.event_count, r.* from {_RT} t join (select run_id, service_name, scenario, row_number() over (partition by service_name, scenario order by created_at, run_id) no from {_RUNS}) r on r.run_id = t.run_id)"
@@ -548,12 +608,12 @@ c as (select r.run_id, count(f.template_id) c, count(f.template_id) filter (g.te
 x as (select r.run_id, count(f.template_id) filter (g.template_id is null) x from r left join f on f.service_name = r.service_name and f.scenario = r.scenario and f.no = r.no - 1 left join f g on g.service_name = f.service_name and g.scenario = f.scenario and g.template_id = f.template_id and g.no = r.no group by all)
 select run_id, c current_flagged_count, n new_regressions, x fixed_regressions, n - x net from c join x using (run_id)""")
 def regression_burndown(spark: SparkSession, folder: str) -> DataFrame:
-    return dashboards.burndown(model.run_templates(spark, folder), model.runs(spark, folder), _baseline(spark, folder))
+    return dashboards.burndown(*_base(spark, folder))
 
 
 @query(f"""select service_name, {_N("code_error")} code_error_templates, cast(coalesce(sum(observed_count) filter (kind = 'code_error'), 0) as bigint) code_error_events, {_N("new_template")} new_templates, {_N("regressed_template")} regressed_templates from {FINDINGS_SQL} group by rollup (service_name)""")
 def service_health(spark: SparkSession, folder: str) -> DataFrame:
-    return dashboards.health(_findings(spark, folder))
+    return dashboards.health(diff.diff_findings(*_base(spark, folder)))
 
 
 @query(f"select service_name, count(*) incidents, string_agg(distinct dependency, ', ' order by dependency) dependencies, round(coalesce(sum(duration_seconds), 0), 3) downtime_s from {_INC} group by all")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import text
 from logweave.operators import classify, drain, ingest, sequences, templates
+from logweave.session import materialised
 from logweave.sources import files
 
 BY = ["source"]
@@ -57,8 +58,9 @@ def scan_events(events: DataFrame, run_id: str, service: str, rules: dict = clas
 def scan(spark: SparkSession, inputs: list[str], service: str = "default", run_id: str | None = None, include_raw: bool = False, strict: bool = False, stage: str | None = None, **options) -> Scan:
     """Scan of log files.
 
-    stage: where the decoded events are written once; the many results of a
-    scan then read them from there and do not parse the files again.
+    The decoded events are written once, to ``stage`` or a checkpoint: the many
+    results of a scan then read them from there and do not parse the files
+    again, and no filter on a derived column is pushed into the parsing.
     """
     now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     run_id = run_id or f"run_{now.replace(':', '').replace('-', '')}"
@@ -67,6 +69,8 @@ def scan(spark: SparkSession, inputs: list[str], service: str = "default", run_i
     if stage:
         files.write_table(events, stage)
         events = spark.read.parquet(stage)
+    else:
+        events = materialised(events)
     return scan_events(events, run_id, service, **options)
 
 

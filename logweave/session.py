@@ -40,6 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialised(df):
+    """A result that several parts of a query read, computed once and written to the shared checkpoint folder (its lineage ends there)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once: they need not have it installed, nor share the driver's folder."""
     sc = spark.sparkContext

@@ -103,3 +103,10 @@ def materialize(stream: DataFrame, out: str, checkpoint: str, service: str, run_
 def to_ndjson(stream: DataFrame, out: str, checkpoint: str):
     """Append rows of a stream as JSON lines; returns the running query."""
     return stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").json(f"{out}/batch={n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(query) -> dict:
+    """Snapshot of a running query: rows and rates of its last micro-batch."""
+    p = query.lastProgress or {}
+    get = lambda k: p.get(k) if isinstance(p, dict) else getattr(p, k, None)
+    return {"name": query.name, "active": query.isActive, "batch": get("batchId"), "rows": get("numInputRows"), "rows_per_second": get("processedRowsPerSecond")}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import classify, dashboards, diff, drain, graph, registry, sequences, templates
+from logweave.operators.combine import combine_batches
 
 
 def test_issue_kinds(spark):
@@ -169,3 +170,22 @@ def test_mining_goes_on_from_a_state(spark):
     damaged = state.withColumn("state", F.lit("{"))
     assert {r.drain_template for r in drain.mine(second, damaged).collect()} == {"node one down", "other"}
     assert drain.tree_state(second, state).count() == 2
+
+
+def test_copies_are_combined_where_they_are_read(spark):
+    df = spark.createDataFrame([("a", None, 3, "x")] * 500 + [("a", None, 1, "x"), ("b", "k", None, "x"), (None, None, 2, "x")], "k string, l string, v int, other string").coalesce(1)
+    got = {tuple(r) for r in combine_batches(df, ["k", "l"], least=["v"], count="n").collect()}
+    assert got == {("a", None, 1, 501), ("b", "k", None, 1), (None, None, 2, 1)}
+    assert combine_batches(df.limit(0), ["k"]).count() == 0
+
+
+def test_lineage_and_editor(spark):
+    f = spark.createDataFrame([("r", "s", "x", "n1", "new_template", "INFO"), ("r", "s", "x", "n2", "new_template", "ERROR"), ("r", "s", "x", "n1", "code_error", "INFO")], "run_id string, service_name string, scenario string, template_id string, kind string, severity_text string")
+    texts = spark.createDataFrame([("r", "n1", "queue closed by peer"), ("r", "n2", "queue closed by peer")], "run_id string, template_id string, normalized_template string")
+    base = spark.createDataFrame([("s", "x", "b2", "queue closed by peers", "INFO", 1.0), ("s", "x", "b1", "queue closed by host", "INFO", 1.0), ("q", "x", "b0", "queue closed by peer", "INFO", 1.0)], "service_name string, scenario string, template_id string, normalized_template string, severity_text string, mean_count double")
+    got = {(r.template_id, r.kind, r.predecessor_template_id) for r in diff.with_lineage(f, texts, base, 0.4).collect()}
+    assert got == {("n1", "evolved_template", "b1"), ("n2", "new_template", None), ("n1", "code_error", None)}
+    seen = spark.createDataFrame([("s", "x", "b1", "text", "ERROR", 4)], "service_name string, scenario string, template_id string, normalized_template string, severity_text string, event_count long")
+    o = spark.createDataFrame([("s", "x", "o1", "banned"), ("s", "x", "b1", "pinned")], "service_name string, scenario string, template_id string, decision string")
+    rows = {r.template_id: (r.severity_text, r.observed_count, r.mean_count, r.decision) for r in diff.editor_universe(seen, base.where("service_name = 's'"), o).collect()}
+    assert rows == {"b1": ("ERROR", 4, 1.0, "pinned"), "b2": ("INFO", None, 1.0, None), "o1": (None, None, None, "banned")}
