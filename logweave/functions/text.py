@@ -18,7 +18,7 @@ PORT = r"(\bport[=: ]|:)(\d{2,5})(/?)"
 PATH = r"/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+"
 HEX = r"\b0x[0-9a-fA-F]+\b"
 BLOBS = ((32, "<TRACE_ID>"), (24, "<OBJECT_ID>"), (16, "<SPAN_ID>"))
-SOME_BLOB = r"[0-9a-fA-F]{16}"
+SOME_BLOB = r"[A-Za-z0-9]{16}"
 NUMBER = r"(?<![A-Za-z0-9_.])-?\d+(?:\.\d+)?(?![A-Za-z0-9_.])"
 PREFIX_HEX = r"(?<![A-Za-z0-9_-])([A-Za-z]{2,15}_)[0-9a-fA-F]{6,40}(?![A-Za-z0-9_-])"
 LONG_ID = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9_-])"
@@ -74,11 +74,13 @@ def with_normalized(df: DataFrame, text: str, out: str = "normalized_template")
         if gate[0] != "~":
             df = df.withColumn(out, F.when(F.col(out).contains(gate), _replaced(out, steps)).otherwise(F.col(out)))
             continue
-        # the gate holds for the whole group as the text was before it; a blob is at least a run of hex characters
-        blobs = len(BLOBS)
-        df = df.withColumn("_gate", F.col(out).rlike(gate[1:]))
-        df = df.withColumn(out, F.when(F.col("_gate") & F.col(out).rlike(SOME_BLOB), _replaced(out, steps[:blobs])).otherwise(F.col(out)))
-        df = df.withColumn(out, F.when(F.col("_gate"), _replaced(out, steps[blobs:])).otherwise(F.col(out))).drop("_gate")
+        # the gate holds for the whole group as the text was before it; blobs and ids are runs of 16 letters and digits at least, which no step makes
+        n = len(BLOBS)
+        number, prefix, long_id = steps[n:]
+        df = df.withColumn("_gate", F.col(out).rlike(gate[1:])).withColumn("_long", F.col("_gate") & F.col(out).rlike(SOME_BLOB))
+        for when, some in ((F.col("_long"), steps[:n]), (F.col("_gate"), [number]), (F.col("_gate") & F.col(out).contains("_"), [prefix]), (F.col("_long"), [long_id])):
+            df = df.withColumn(out, F.when(when, _replaced(out, some)).otherwise(F.col(out)))
+        df = df.drop("_gate", "_long")
     return df.withColumn(out, F.regexp_replace(F.regexp_replace(F.col(out), r"^\s+|\s+\z", ""), r"\s+", " "))
 
 
