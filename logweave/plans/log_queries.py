@@ -548,7 +548,7 @@ def previous_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""select coalesce(i.service_name, s.service_name) service_name, i.runs, s.lines, s.chars from (select service_name, count(*) runs from {_RUNS} group by all) i
-  full join (select lower(trim(split_part(source, '/', 2))) service_name, count(*) as lines, sum(length(line)) chars from raw_lines group by all) s on s.service_name = i.service_name""")
+  full join (select lower(trim(split_part(source, '/', 2))) service_name, count(*) as lines, cast(sum(length(line)) as bigint) chars from raw_lines group by all) s on s.service_name = i.service_name""")
 def service_overview(spark: SparkSession, folder: str) -> DataFrame:
     """Indexed runs and raw lines of each service."""
     indexed = model.runs(spark, folder).groupBy("service_name").agg(F.count(F.lit(1)).alias("runs"))

@@ -104,3 +104,10 @@ def test_operator_on_dirty_rows(spark):
     got = {tuple(r) for r in instants.normalised_event_times(spark.createDataFrame(rows, schema), services).collect()}
     assert got == {("a", "timestamp", utc(2025, 9, 29, 0, 44, 14) + 651_000), ("b", "observed_timestamp", 1759125561000000)}
     assert instants.normalised_event_times(spark.createDataFrame([], schema), services).count() == 0
+
+
+def test_record_times(spark):
+    rows = [("raw/gateway/f", 1, "json", "2025-09-29 02:44:14,651"), ("raw/gateway/f", 3, "json", "2025-09-29T02:44:14Z"), ("raw/gateway/f", 5, "text", "2025-09-29 02:44:14"), ("raw/gateway/f", 7, "json", ""), ("gateway", 9, "json", "2025-09-29 02:44:14"), ("raw/gateway/f", 11, "json", "Oct  1 03:33:57"), ("raw/nobody/f", 13, "json", "1759125561")]
+    services = spark.createDataFrame([("gateway", "Europe/Madrid", "dmy")], "service_name string, time_zone string, date_order string")
+    df = spark.createDataFrame(rows + rows[:1], "source string, record_pos long, parse_format string, ts_text string")
+    assert {tuple(r) for r in instants.normalised_record_times(df, services).collect()} == {("raw/gateway/f#1", "time", utc(2025, 9, 29, 0, 44, 14) + 651_000), ("raw/nobody/f#13", "time", 1759125561000000)}
