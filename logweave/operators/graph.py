@@ -27,7 +27,7 @@ def cooccurrence(events: DataFrame, lag_us: int = 30_000_000, min_count: int = 1
     pairs = a.join(b, ["w", "k"]).where(after).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("n")).where(F.col("n") >= min_count)
     counts = e.groupBy("id").agg(F.sum("c").alias("m"))
     total = counts.agg(F.sum("m").alias("total"))
-    shares = counts.join(F.broadcast(total)).withColumn("p", F.col("m") / F.col("total"))  # one row
+    shares = counts.withColumn("total", total.scalar()).withColumn("p", F.col("m") / F.col("total"))
     sa, sb = shares.select(F.col("id").alias("a"), F.col("p").alias("p_a"), "total"), shares.select(F.col("id").alias("b"), F.col("p").alias("p_b"))
     out = pairs.join(sa, "a").join(sb, "b")
     return out.select(F.col("a").alias("template_a"), F.col("b").alias("template_b"), "n", "p_a", "p_b", (F.col("n") / (F.col("p_a") * F.col("p_b") * F.col("total"))).alias("lift"))

@@ -393,9 +393,9 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     n = ids_.count()
     cut = ids_.orderBy("run_id").limit((n + 1) // 2).agg(F.max("run_id").alias("m"))
     at = F.struct("source", "offset")
-    half = ev.where("template_id is not null").join(F.broadcast(cut))  # one row
+    half = ev.where("template_id is not null")
     agg = lambda d: d.groupBy("template_id").agg(F.count(F.lit(1)).alias("event_count"), F.min_by("severity_text", at).alias("severity_text"), F.min_by("error_kind", at).alias("error_kind"))
-    return agg(half.where("run_id <= m")), agg(half.where("run_id > m"))
+    return agg(half.where(F.col("run_id") <= cut.scalar())), agg(half.where(F.col("run_id") > cut.scalar()))
 
 
 @query(f"""select * from (select coalesce(r.template_id, l.template_id) template_id,
