@@ -228,10 +228,13 @@ def _boots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return ln, sequences.boots(ln, BY, "line_offset")
 
 
+def _with_kind(annotated: DataFrame) -> DataFrame:
+    return annotated.withColumn("issue_kind", classify.issue_kind(F.col("body"), text.exception_type(F.col("body")), F.lit("none"), F.col("severity_text")))
+
+
 def _annotated(spark: SparkSession, folder: str) -> DataFrame:
     ln, b = _boots(spark, folder)
-    kind = classify.issue_kind(F.col("body"), text.exception_type(F.col("body")), F.lit("none"), F.col("severity_text"))
-    return sequences.with_instances(ln, b, BY, "line_offset").withColumn("issue_kind", kind).withColumn("template_id", ids.stable_id(F.col("service_name"), F.col("severity_text"), F.substring("body", 1, 12)))
+    return _with_kind(sequences.with_instances(ln, b, BY, "line_offset")).withColumn("template_id", ids.stable_id(F.col("service_name"), F.col("severity_text"), F.substring("body", 1, 12)))
 
 
 @query(f"select service_name, seq, boot_order, started_us from {_BOOTS}")
@@ -320,6 +323,37 @@ def replay(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.replay(BY, b, sequences.first_code_errors(_annotated(spark, folder), BY, "line_offset"), template_bursts(spark, folder), incidents)
 
 
+# ---- the same by the templates of whole bodies; the queries above take the first 12 characters of a body for its template, as their SQL does
+_WHOLE_L = f"""(select * exclude (t), md5(service_name || chr(31) || severity_text || chr(31) || {text_sql.cut_headline("t")} || chr(31)) whole_id from ({text_sql.normalized(
+    f"(select *, case when contains(body, chr(10)) then {text_sql.first_line('body')} else body end line from {_L})", "line", "event_id, service_name, worker_id, severity_text, ts_us, line_offset, body")}))"""
+_WHOLE_FIRST = _FIRST.replace(_TID, "whole_id").replace(f"from {_L} l asof", f"from {_WHOLE_L} l asof")
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    df = templates.identify(spread(model.lines(spark, folder)))
+    return df.select("event_id", "service_name", "worker_id", "severity_text", "ts_us", "line_offset", "body", "template_id")
+
+
+@query(SQL["template_bursts"].replace(_TID, "whole_id").replace(_L, _WHOLE_L))
+def template_bursts_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Minutes in which a template of whole bodies occurs at least twice."""
+    return sequences.bursts(_whole(spark, folder), ["service_name", "template_id"], "ts_us", 2)
+
+
+@query(f"select * from {_WHOLE_FIRST}")
+def first_code_errors_whole(spark: SparkSession, folder: str) -> DataFrame:
+    b = _boots(spark, folder)[1]
+    return sequences.first_code_errors(_with_kind(sequences.with_instances(_whole(spark, folder), b, BY, "line_offset")), BY, "line_offset")
+
+
+@query(SQL["replay"].replace(_FIRST, _WHOLE_FIRST).replace(SQL["template_bursts"], SQL["template_bursts_whole"]))
+def replay_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The timeline with the templates of whole bodies."""
+    _, b = _boots(spark, folder)
+    incidents = sequences.connectivity_incidents(_marks(spark, folder), BY, "line_offset")
+    return sequences.replay(BY, b, first_code_errors_whole(spark, folder), template_bursts_whole(spark, folder), incidents)
+
+
 # ------------------------------------------------------------------ runs, registry, baseline
 
 _RT, _RUNS = f"({model.RUN_TEMPLATES_SQL})", f"({model.RUNS_SQL})"
@@ -583,6 +617,13 @@ def cooccurrence(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(graph.cooccurrence(df, 900_000_000, 2), "p_a", "p_b", "lift")
 
 
+@query(SQL["cooccurrence"].replace(_CO, f"(select worker_id w, ts_us t, whole_id id from {_WHOLE_L})"))
+def cooccurrence_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for the templates of whole bodies (written once: a filter on the ids would repeat their computation)."""
+    df = materialised(_whole(spark, folder).select("worker_id", "ts_us", "template_id"))
+    return rounded(graph.cooccurrence(df, 900_000_000, 2), "p_a", "p_b", "lift")
+
+
 @query(f"""with b as (select * from {BASELINE_SQL}), r as (select run_id, service_name, scenario from {_RUNS}), p as (select r.*, t.template_id, t.event_count from {_RT} t join r on r.run_id = t.run_id),
 k as (select service_name, scenario, template_id from p group by service_name, scenario, template_id qualify row_number() over (partition by service_name, scenario order by sum(event_count) desc, template_id) <= 50)
 select k.service_name, k.scenario, r.run_id, k.template_id, coalesce(p.event_count, 0) n, round(case when b.std_count is null then null when b.std_count >= 1e-9 then (coalesce(p.event_count, 0) - b.mean_count) / b.std_count
