@@ -6,8 +6,6 @@ import argparse
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from logweave import api
 from logweave.operators import classify, diff
 from logweave.plans import reports, scan
@@ -69,9 +67,10 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(scan.write(done, a.out), sort_keys=True))
     elif a.verb == "compare":
         left, right = (files.read_table(spark, f"{x}/templates.parquet") for x in (a.left, a.right))
-        out = diff.compare_runs(left, right, a.frequency_ratio, a.min_count)
+        saved = f"{a.out}.parquet"
+        files.write_table(diff.compare_runs(left, right, a.frequency_ratio, a.min_count), saved)
         with open(a.out, "w") as f:
-            f.write("\n".join(["# Comparison", "", *reports.table(out.orderBy("kind", F.desc("right_count"), "template_id"), 100)]))
+            f.writelines(f"{line}\n" for line in reports.compare_report(files.read_table(spark, saved)))
     elif a.verb == "export-dataset":
         files.write_dataset(files.read_table(spark, f"{a.input}/events.parquet"), files.read_table(spark, f"{a.input}/templates.parquet"), a.out, a.include_body)
     elif a.verb == "index":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,20 @@ def table(df: DataFrame, n: int) -> list[str]:
     return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""]
 
 
+def compare_report(compared: DataFrame) -> Iterator[str]:
+    """Lines of a comparison, one section per kind, new errors first; all rows, passed through one partition at a time."""
+    n = dict(compared.groupBy("kind").count().collect())
+    yield from ("# Comparison", "")
+    for kind, title in (("new", "New errors"), ("fixed", "Fixed errors"), ("frequency", "Frequency increases")):
+        yield from (f"## {title} ({kind}): {n.get(kind, 0)}", "")
+        if not n.get(kind):
+            yield from ("None.", "")
+            continue
+        part = compared.where(F.col("kind") == kind).drop("kind").orderBy(F.desc("right_count"), F.desc("left_count"), "template_id")
+        yield from ("| " + " | ".join(part.columns) + " |", "|" + " --- |" * len(part.columns))
+        for r in part.toLocalIterator():
+            yield "| " + " | ".join(map(cell, r)) + " |"
+        yield ""
 
 
 def scan_report(meta: dict, scan) -> str:
