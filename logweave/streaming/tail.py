@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweave.operators import ingest, templates
+from logweave.session import ship
 from logweave.sources import files
+from logweave.streaming import growing
 
 _OUT = "kind string, template_id string, observed_count long, baseline_mean double, baseline_p95 double, z_score double"
 _STATE = "total long, novel boolean, regressed boolean"
@@ -76,23 +80,35 @@ def restart_sessions(events: DataFrame, ts: str, gap: str = "30 seconds", delay:
     return marks.groupBy(F.session_window(ts, gap), "service_name").agg(F.count(F.lit(1)).alias("markers")).select(F.col("session_window.start").alias("started_at"), "service_name", "markers")
 
 
-def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Whole new log files of a folder as a stream (source, text): a rotated file is a new one."""
-    reader = spark.readStream.format("text").option("wholetext", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source"), F.col("value").alias("text"))
+def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None = None, settle_s: float = 60.0) -> DataFrame:
+    """New lines of the log files of a folder as a stream (source, first_line, text), see :class:`logweave.streaming.growing.GrowingFiles`.
+
+    With ``files_per_batch``, or in a file system other than the local or a
+    mounted one, only closed files are read, each once and whole: what is
+    appended later is not seen.
+    """
+    if files_per_batch or "://" in folder.removeprefix("file://"):
+        reader = spark.readStream.format("text").option("wholetext", True)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.load(folder).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source"), F.lit(1).cast("long").alias("first_line"), F.col("value").alias("text"))
+    ship(spark)
+    spark.dataSource.register(growing.GrowingFiles)
+    path = re.sub("^file:/+", "/", folder)
+    if not growing.listed(path) and not os.path.isdir(path):
+        raise FileNotFoundError(path)
+    return spark.readStream.format("growing_files").option("folder", os.path.abspath(path)).option("settle_s", str(settle_s)).load()
 
 
 def materialize(stream: DataFrame, out: str, checkpoint: str, service: str, run_id: str):
-    """Append the events of new files and rebuild the templates from all events; returns the running query.
+    """Append the events of new lines and rebuild the templates from all events; returns the running query.
 
     Each micro-batch is a folder of its own, so a batch that is run again
-    replaces itself.
+    replaces itself.  A record whose lines come in two batches is two records.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        lines = batch.select("source", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("_n", "line")).select("source", (F.col("_n") + 1).cast("long").alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+        lines = batch.select("source", "first_line", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("_n", "line")).select("source", (F.col("_n") + F.col("first_line")).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
         files.write_table(ingest.decode(ingest.records(lines), service, run_id, ""), f"{out}/events/batch={number}")
         everything = batch.sparkSession.read.parquet(f"{out}/events")
         files.write_table(templates.aggregate_templates(everything), f"{out}/templates.parquet")
