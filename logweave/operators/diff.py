@@ -67,6 +67,27 @@ def diff_findings(run_templates: DataFrame, runs: DataFrame, baseline: DataFrame
     return found.unionByName(missing)
 
 
+def first_anomalies(run_templates: DataFrame, runs: DataFrame, baseline: DataFrame, z_threshold: float = 3.0, min_count: int = 5, novelty_min: int = 3) -> DataFrame:
+    """The number of the event with which each template of a run first passes the tests of the streaming detector: run_id, service_name, scenario, template_id, kind, event_no, ....
+
+    The tests grow with the running count, so the first event that passes all
+    is computed from the baseline, not looked for.  A template that is not in
+    the baseline of its cohort, or whose run is not known, is a new one.
+    """
+    cohort = ["service_name", "scenario"]
+    j = run_templates.drop(*cohort).join(runs.select("run_id", *cohort), "run_id", "left").join(baseline.select(*cohort, "template_id", "mean_count", "std_count", "p95_count"), [*cohort, "template_id"], "left")
+    mean, std = F.col("mean_count"), F.col("std_count")
+    passes = lambda n: z_score(n, mean, std) > z_threshold
+    # the test itself decides between the neighbours of its bound, which is rounded
+    n = F.floor(F.when(std > 1e-9, mean + std * z_threshold).otherwise(mean))
+    over_z = F.when(passes(n), n).when(passes(n + 1), n + 1).otherwise(n + 2)
+    at = F.when(mean.isNull(), F.lit(novelty_min)).otherwise(F.greatest(F.lit(min_count).cast("long"), F.floor("p95_count") + 1, over_z)).cast("long")
+    hit = j.withColumn("event_no", at).where(F.col("event_count") >= F.col("event_no"))
+    kind = F.when(mean.isNull(), "new_template").otherwise("regression")
+    z = F.when(mean.isNotNull(), z_score(F.col("event_no"), mean, std))
+    return hit.select("run_id", *cohort, "template_id", kind.alias("kind"), "event_no", mean.alias("baseline_mean"), F.col("p95_count").alias("baseline_p95"), z.alias("z_score"))
+
+
 def apply_overrides(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     """Findings after decisions (service_name, scenario, template_id, decision): pinned and banned templates are no new ones;
     banned ones that were observed are policy violations, pinned ones that were not are pinned_missing.

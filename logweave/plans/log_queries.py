@@ -674,6 +674,17 @@ def anomalies(spark: SparkSession, folder: str) -> DataFrame:
     return j.select("template_id", F.explode(kinds).alias("k")).where("k is not null").select("template_id", "k.kind", "k.event_no")
 
 
+@query(f"""with c as (select t.run_id, r.service_name, r.scenario, t.template_id, b.mean_count m, b.std_count s, b.p95_count p, unnest(range(1, t.event_count + 1)) event_no
+    from {_RT} t left join {_RUNS} r on r.run_id = t.run_id left join {BASELINE_SQL} b on b.service_name = r.service_name and b.scenario = r.scenario and b.template_id = t.template_id),
+z as (select *, case when m is not null then case when s > 1e-9 then (event_no - m) / s when event_no > m then {_INF} else 0.0 end end z from c),
+f as (select run_id, service_name, scenario, template_id, min(struct_pack(event_no := event_no, z := z, m := m, p := p)) f from z where case when m is null then event_no >= 3 else event_no >= 5 and event_no > p and z > 3.0 end group by all)
+select run_id, service_name, scenario, template_id, case when f.m is null then 'new_template' else 'regression' end kind, f.event_no, round(f.m, 6) baseline_mean, round(f.p, 6) baseline_p95, round(f.z, 6) z_score from f""")
+def anomalies_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The detector of :func:`logweave.streaming.tail.anomalies` over all events of each run against the baseline of its cohort: the event with which a template is first new or first a regression."""
+    rt, runs, base = _base(spark, folder)
+    return rounded(diff.first_anomalies(rt, runs, base), "baseline_mean", "baseline_p95", "z_score")
+
+
 # ------------------------------------------------------------------ template mining (order-dependent: no SQL)
 
 
