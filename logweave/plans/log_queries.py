@@ -507,6 +507,27 @@ def diff_overrides(spark: SparkSession, folder: str) -> DataFrame:
     return _overridden(spark, folder).select("run_id", "template_id", "kind", "severity_text", "observed_count")
 
 
+#: Decisions from the data: failing templates are banned, others that every run of a baseline has are pinned, the rest is undecided.
+_FAILS = "coalesce(upper(severity_text) in ('ERROR', 'CRITICAL', 'FATAL'), false)"
+_WHOLE_OVERRIDES = f"""(select distinct service_name, scenario, template_id, case when {_FAILS} then 'banned' else 'pinned' end decision from {BASELINE_SQL} where {_FAILS} or min_count > 0
+  union select distinct service_name, scenario, template_id, 'banned' from {FINDINGS_SQL} where kind = 'new_template' and {_FAILS})"""
+_WHOLE_OVERRIDDEN_SQL = OVERRIDDEN_SQL.replace(_OVERRIDES, _WHOLE_OVERRIDES)
+
+
+def _whole_decisions(base: DataFrame, found: DataFrame) -> DataFrame:
+    key = ["service_name", "scenario", "template_id"]
+    first = base.where(f"{_FAILS} or min_count > 0").select(*key, F.when(F.expr(_FAILS), "banned").otherwise("pinned").alias("decision"))
+    more = found.where(f"kind = 'new_template' and {_FAILS}").select(*key, F.lit("banned").alias("decision"))
+    return first.unionByName(more).distinct()
+
+
+@query(f"select run_id, template_id, kind, severity_text, observed_count from {_WHOLE_OVERRIDDEN_SQL}")
+def diff_overrides_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings after decisions on templates of all ids."""
+    _, _, base, found = _found(spark, folder)
+    return diff.apply_overrides(found, _whole_decisions(base, found)).select("run_id", "template_id", "kind", "severity_text", "observed_count")
+
+
 _LV = lambda c: f"case upper({c}) when 'DEBUG' then 0 when 'INFO' then 1 when 'NOTICE' then 2 when 'WARN' then 3 when 'WARNING' then 3 when 'ERROR' then 4 when 'CRITICAL' then 5 when 'FATAL' then 5 else 0 end"
 _N = lambda k: f"count(*) filter (kind = '{k}')"
 
@@ -521,6 +542,13 @@ def diff_summary(spark: SparkSession, folder: str) -> DataFrame:
     return diff.diff_summary(_overridden(spark, folder))
 
 
+@query(SQL["diff_summary"].replace(OVERRIDDEN_SQL, _WHOLE_OVERRIDDEN_SQL))
+def diff_summary_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of each run after decisions on templates of all ids."""
+    _, _, base, found = _found(spark, folder)
+    return diff.diff_summary(diff.apply_overrides(found, _whole_decisions(base, found)))
+
+
 _NEW = f"(select distinct template_id, normalized_template, severity_text from ({TEMPLATES_SQL}))"
 _OLD = "(select distinct lower(trim(template_id)) template_id, lower(trim(normalized_template)) normalized_template, upper(trim(severity_text)) severity_text from template_registry where template_id is not null and snapshot_no = 1)"
 
@@ -562,6 +590,13 @@ def connectivity_regressions(spark: SparkSession, folder: str) -> DataFrame:
     return diff.connectivity_findings(i, model.runs(spark, folder))
 
 
+def _editor(spark: SparkSession, folder: str, decisions) -> DataFrame:
+    rt, runs, base, found = _found(spark, folder)
+    r = runs.where("status = 'red'").select("run_id", F.col("service_name").alias("_s"), "scenario")
+    seen = rt.drop("service_name").join(r, "run_id").withColumnRenamed("_s", "service_name")
+    return rounded(diff.editor_universe(seen, base, decisions(base, found)), "mean_count")
+
+
 @query(f"""with t as (select r.service_name, r.scenario, t.template_id, min(struct_pack(a := coalesce(normalized_template, ''), b := coalesce(severity_text, ''))) x, cast(sum(t.event_count) as bigint) observed_count from {_RT} t join {_RUNS} r on r.run_id = t.run_id where r.status = 'red' group by all),
 o as (select service_name, scenario, template_id, min(decision) decision from {_OVERRIDES} group by all)
 select coalesce(t.service_name, b.service_name, o.service_name) service_name, coalesce(t.scenario, b.scenario, o.scenario) scenario, coalesce(t.template_id, b.template_id, o.template_id) template_id,
@@ -570,10 +605,13 @@ from t full join {BASELINE_SQL} b on b.service_name = t.service_name and b.scena
 full join o on o.service_name = coalesce(t.service_name, b.service_name) and o.scenario = coalesce(t.scenario, b.scenario) and o.template_id = coalesce(t.template_id, b.template_id)""")
 def baseline_editor(spark: SparkSession, folder: str) -> DataFrame:
     """Templates of red runs, of the baseline and of decisions side by side."""
-    rt, runs, base, found = _found(spark, folder)
-    r = runs.where("status = 'red'").select("run_id", F.col("service_name").alias("_s"), "scenario")
-    seen = rt.drop("service_name").join(r, "run_id").withColumnRenamed("_s", "service_name")
-    return rounded(diff.editor_universe(seen, base, _decisions(base, found)), "mean_count")
+    return _editor(spark, folder, _decisions)
+
+
+@query(SQL["baseline_editor"].replace(_OVERRIDES, _WHOLE_OVERRIDES))
+def baseline_editor_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with decisions on templates of all ids."""
+    return _editor(spark, folder, _whole_decisions)
 
 
 @query(f"select run_id, lag(run_id) over (partition by service_name, scenario order by created_at, run_id) previous_run_id from {_RUNS}")

@@ -2,7 +2,10 @@
 
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from logweave.operators import diff
+from logweave.plans import log_queries as q
 from logweave.streaming import tail
 
 
@@ -28,3 +31,12 @@ def test_first_anomalies_are_those_of_the_detector(spark):
             for out in run((t,), iter([row]), state):
                 want |= {(r.kind, r.template_id, r.observed_count) for r in out.itertuples()}
     assert got == want and ("regression", "t3", 41) in got and not any(t == "t4" for _, t, _ in got)
+
+
+def test_decisions_do_not_depend_on_ids(spark):
+    key = "service_name string, scenario string, template_id string, severity_text string"
+    rows = [("s", "x", f"{d}{k}", sev, least) for d in "0369cf" for k, sev, least in (("a", "ERROR", 0), ("b", "INFO", 3), ("c", "INFO", 0), ("d", None, 1))]
+    base = spark.createDataFrame(rows, key + ", min_count long")
+    found = spark.createDataFrame([("s", "x", f"{d}n", "FATAL", "new_template") for d in "0369cf"] + [("s", "x", "am", "INFO", "new_template")], key + ", kind string")
+    got = q._whole_decisions(base, found).groupBy("decision", F.substring("template_id", 2, 1).alias("k")).count().collect()
+    assert {(r.decision, r.k): r["count"] for r in got} == {("banned", "a"): 6, ("pinned", "b"): 6, ("pinned", "d"): 6, ("banned", "n"): 6}
