@@ -66,7 +66,7 @@ def diff_report(summary: DataFrame, findings: DataFrame) -> str:
 
 
 def html_report(summary: DataFrame) -> str:
-    rows = summary.orderBy("run_id").limit(1000).collect()
+    rows = summary.orderBy("run_id").toLocalIterator()
     head = "".join(f"<th>{html.escape(c)}</th>" for c in summary.columns)
     body = "".join("<tr>" + "".join(f"<td>{html.escape(cell(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<!doctype html><meta charset='utf-8'><title>Runs</title><table><tr>{head}</tr>{body}</table>"
