@@ -30,12 +30,13 @@ def delta_factor(count: Column, mean: Column) -> Column:
     return F.when(mean > 0, count / mean).when(count > 0, INFINITE).otherwise(1.0)
 
 
-def compare_runs(left: DataFrame, right: DataFrame, ratio: float = 2.0, min_count: int = 5) -> DataFrame:
-    """Templates of two runs: ``new`` and ``fixed`` ones with errors, and common ones whose count grew by ``ratio`` (kind ``frequency``)."""
+def compare_runs(left: DataFrame, right: DataFrame, ratio: float = 2.0, min_count: int = 5, rise: int | None = None) -> DataFrame:
+    """Templates of two runs: ``new`` and ``fixed`` ones with errors, and common ones whose count grew by ``ratio`` and by ``rise``, if not given ``min_count``, events at least (kind ``frequency``)."""
+    rise = min_count if rise is None else rise
     failing = lambda p: F.coalesce(F.col(f"{p}.severity_text").isin(*ERROR_LEVELS), F.lit(False)) | ~F.coalesce(F.col(f"{p}.error_kind"), F.lit("none")).isin("", "none")
     j = left.alias("l").join(right.alias("r"), F.col("l.template_id") == F.col("r.template_id"), "full")
     before, after = F.col("l.event_count"), F.col("r.event_count")
-    kind = F.when(before.isNull() & failing("r"), "new").when(after.isNull() & failing("l"), "fixed").when((after >= min_count) & (after >= before * ratio), "frequency")
+    kind = F.when(before.isNull() & failing("r"), "new").when(after.isNull() & failing("l"), "fixed").when((after >= min_count) & (after >= F.greatest(before * ratio, before + rise)), "frequency")
     return j.select(F.coalesce("r.template_id", "l.template_id").alias("template_id"), kind.alias("kind"), F.coalesce(before, F.lit(0)).alias("left_count"), F.coalesce(after, F.lit(0)).alias("right_count")).where("kind is not null")
 
 

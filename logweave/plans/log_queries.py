@@ -438,7 +438,13 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
        when r.event_count >= 5 and r.event_count >= l.event_count * 2.0 then 'frequency' end kind, coalesce(l.event_count, 0) left_count, coalesce(r.event_count, 0) right_count
   from {_HALF("<=")} l full join {_HALF(">")} r on l.template_id = r.template_id) where kind is not null""")
 def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Templates of the later half of the runs against the earlier half."""
+    """Templates of the later half of the runs against the earlier half; what grew by the ratio counts, however few events they are."""
+    return diff.compare_runs(*_halves(spark, folder), rise=0)
+
+
+@query(SQL["compare_runs"].replace("r.event_count >= l.event_count * 2.0", "r.event_count >= greatest(l.event_count * 2.0, l.event_count + 5)"))
+def compare_runs_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where an increase is one of 5 events at least."""
     return diff.compare_runs(*_halves(spark, folder))
 
 

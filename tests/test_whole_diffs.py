@@ -40,3 +40,9 @@ def test_decisions_do_not_depend_on_ids(spark):
     found = spark.createDataFrame([("s", "x", f"{d}n", "FATAL", "new_template") for d in "0369cf"] + [("s", "x", "am", "INFO", "new_template")], key + ", kind string")
     got = q._whole_decisions(base, found).groupBy("decision", F.substring("template_id", 2, 1).alias("k")).count().collect()
     assert {(r.decision, r.k): r["count"] for r in got} == {("banned", "a"): 6, ("pinned", "b"): 6, ("pinned", "d"): 6, ("banned", "n"): 6}
+
+
+def test_a_few_events_more_are_no_increase(spark):
+    schema = "template_id string, event_count long, severity_text string, error_kind string"
+    side = lambda i: spark.createDataFrame([(t, c[i], "INFO", "none") for t, c in {"a": (4, 8), "b": (3, 6), "c": (4, 9), "d": (5, 10), "e": (20, 39)}.items()], schema)
+    assert {r.template_id for r in diff.compare_runs(side(0), side(1)).collect()} == {"c", "d"}
