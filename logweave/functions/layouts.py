@@ -1,18 +1,22 @@
 """Layouts of log lines, found by shape signature.
 
 The head of a line is collapsed to a *signature* (runs of digits ``9``, words
-``a``, level words ``L``, the rest as it stands).  Each distinct signature is
-resolved to a layout once per worker against the catalogue below; the layout's
-field rule is then applied to the whole line.
+``a``, level words ``L``, the rest as it stands), by built-in functions.  Each
+distinct signature is resolved to a layout of the catalogue below once; the
+layout's field rule is then applied to all lines that have it together.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Level words of common logging systems and the level they stand for.
 LEVELS = {
     "TRACE": "TRACE", "FINEST": "TRACE", "VERBOSE": "TRACE", "T": "TRACE", "TRC": "TRACE",
@@ -27,25 +31,47 @@ LEVEL_WORDS = sorted((w for w in LEVELS if len(w) > 1), key=len, reverse=True)
 
 #: Colour codes (terminal escape sequences).
 ANSI = "\x1b\\[[0-9;]*[A-Za-z]"
-#: A signature covers this many blank-separated tokens: more than any layout has in front of its message.
-HEAD_TOKENS = 9
+#: Tokens of a head that a signature covers. No shape below looks further: a time has at most six, a level one, and at most four more follow.
+HEAD_TOKENS = 12
+_TIME_KEYS, _LEVEL_KEYS = ("ts", "time", "timestamp", "t", "datetime"), ("level", "lvl", "severity")
+_VALUE = r'(?:"(?:[^"\\]|\\.)*+"|[^\s"]*+)'
+#: Heads of lines: all leading ``key=value`` pairs, or tokens of which one in brackets may hold blanks.
+PAIRS = rf"^(?>[A-Za-z_][\w.\-]*+={_VALUE}(?:[ \t]++|$))++"
+TOKENS = r"^(?>(?>\[[^\]\n]*+\][^ \t\n]*+|[^ \t\n]++)[ \t]*+){0,%d}" % HEAD_TOKENS
+_WORD = r"(?i)(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
+#: Collapsing of a head, in order. A run of 48 characters of names is longer than any time: it stands for one word.
+COLLAPSE = (
+    (r"[A-Za-z0-9_$+/.\-]{48,}", "a"),
+    (_WORD % "|".join(LEVEL_WORDS), "\x01"),
+    (r"[A-Za-z_$]+", "a"),
+    (r"[0-9]+", "9"),
+    ("\x01", "L"),
+    (r"\[(?![^\]]*9:9)[^\]]* [^\]]*\]", "[~]"),
+)
+#: The same for pairs: keys of times and levels are told apart, other pairs are one ``a=~`` however many stand together.
+COLLAPSE_PAIRS = (
+    (rf"(?i)(?<![^ \t])(?:{'|'.join(_TIME_KEYS)})=", "\x02="),
+    (rf"(?i)(?<![^ \t])(?:{'|'.join(_LEVEL_KEYS)})=", "\x03="),
+    *COLLAPSE[:5],
+    ("\x02", "T"),
+    ("\x03", "V"),
+    (r'(?<![^ \t])[^ \t=]+=(?:"(?![^"]*9:9)(?:[^"\\]|\\.)*+"|(?!"|9|L(?:[ \t]|$))[^ \t]*+)(?=[ \t]|$)', "a=~"),
+    (r"[ \t]+", " "),
+    (r"(?:(?<![^ ])a=~ ){2,}", "a=~ "),
+)
+
 
-_LEVEL = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(LEVEL_WORDS) + r")(?![A-Za-z0-9_])", re.I)
-_WORD = re.compile(r"[A-KM-Za-zL_$][A-Za-z_$]*")
-_DIGITS = re.compile(r"[0-9]+")
-_HEAD = re.compile(r"(?:[^ \t]*[ \t]+){0,%d}[^ \t]*" % (HEAD_TOKENS - 1))
-_LONG = re.compile(r"[^ \t]{200,}")
+def signature(line: Column) -> Column:
+    """The shape signature of a line's head; a line that starts with a brace is ``{``, one that no layout begins like has none."""
 
+    def collapsed(head: str, steps: tuple) -> Column:
+        c = F.regexp_extract(line, head, 0)
+        for pattern, token in steps:
+            c = F.regexp_replace(c, pattern, token)
+        return c
 
-def signature(line: str) -> str:
-    """The shape signature of a line's head; a line that starts with a brace is ``{``."""
-    if line.startswith("{"):
-        return "{"
-    head = _LONG.sub("~", _HEAD.match(line)[0])  # a token this long belongs to no head
-    head = _LEVEL.sub("\x00", head)
-    head = _WORD.sub("a", head)
-    head = _DIGITS.sub("9", head)
-    return head.replace("\x00", "L")
+    first = F.substring(line, 1, 1)
+    return F.when(first == "{", "{").when(~first.rlike(r"[A-Za-z0-9\[<_]"), "").when(line.rlike(PAIRS), collapsed(PAIRS, COLLAPSE_PAIRS)).otherwise(collapsed(TOKENS, COLLAPSE))
 
 
 _T = (
@@ -58,11 +84,11 @@ _W = r"[aL9][aL9.\-/@]*"
 class Layout(NamedTuple):
     name: str
     shape: re.Pattern
-    fields: re.Pattern | None
+    fields: str | None
 
 
 def _l(name: str, shape: str, fields: str | None) -> Layout:
-    return Layout(name, re.compile(shape), re.compile(fields, re.S) if fields else None)
+    return Layout(name, re.compile(shape), f"(?s){fields}" if fields else None)
 
 
 _LV = r"(?P<level>" + "|".join(LEVEL_WORDS) + r")"
@@ -78,18 +104,14 @@ LAYOUTS = (
     _l("named", rf"^\[{_T}\] [^ ]+ \(L\)", rf"(?i)^\[(?P<ts>[^\]]+)\] (?P<component>\S+) \({_LV}\) ?(?P<message>.*)$"),
     _l("dashed", rf"^\[{_T}\] +L +-", rf"(?i)^\[(?P<ts>[^\]]+)\] +{_LV} +- ?(?P<message>.*)$"),
     _l("piped", rf"^L +\| +{_T} +\| +[^ |]* *\|", rf"(?i)^{_LV} +\| +(?P<ts>[^|]+?) +\| +(?P<component>[^|]*?) *\| ?(?P<message>.*)$"),
-    _l("keyed", rf"^(?:a=\"?{_T}\"? a=L|a=L a=\"?{_T}\"?)(?: |$)", None),
-    _l("plain", rf"^\[?{_T}\]?[ \t\-]+\[?L\]?(?![A-Za-z0-9_=])", rf"(?i)^\[?(?P<ts>[^\[\]]+?)\]?[ \t\-]+\[?{_LV}\]?(?![A-Za-z0-9_])[ \t:]*(?P<message>.*)$"),
+    _l("keyed", rf"^(?:[aTV]=\"?{_T}\"? [aTV]=L|[aTV]=L [aTV]=\"?{_T}\"?|(?=(?:[^ ]* )*T=\"?{_T}\"?(?: |$))(?=(?:[^ ]* )*V=L(?: |$)).*)(?: |$)", None),
+    _l("plain", rf"^\[?{_T}\]?[ \t\-]+\[?L\]?(?![A-Za-z0-9_=])", rf"(?i)^\[?(?P<ts>[^\[\]]+?)\]?[ \t\-]+\[?{_LV}\]?\b[ \t:]*(?P<message>.*)$"),
 )
 
 
-@lru_cache(maxsize=1 << 16)
 def layout_of(sig: str) -> int:
     """Index of the layout of a signature, -1 for a continuation line."""
-    for i, layout in enumerate(LAYOUTS):
-        if layout.shape.match(sig):
-            return i
-    return -1
+    return next((i for i, layout in enumerate(LAYOUTS) if layout.shape.match(sig)), -1)
 
 
 # The keys under which JSON records hold a field, in order of precedence. A pair is a key of a nested object.
@@ -100,7 +122,7 @@ JSON_KEYS = {
     "message": ("message", "body", "msg", "event", ("attributes", "message"), "exception.message", ("exception", "message")),
 }
 _KEYED = {
-    "ts": ("ts", "time", "timestamp", "t"), "level": ("level", "lvl", "severity"), "component": ("component", "logger", "service", "program", "caller"),
+    "ts": _TIME_KEYS, "level": _LEVEL_KEYS, "component": ("component", "logger", "service", "program", "caller"),
     "message": ("msg", "message"),
 }
 _PAIR = re.compile(r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|\S*)')
@@ -179,28 +201,64 @@ def parse_json(text: str) -> Entry:
     return Entry("json", "ok", (get("ts") or "").strip(), severity(get("level")), (get("component") or "").strip(), clean_text(text if body is None else body).rstrip())
 
 
-def parse_entry(text: str) -> Entry:
-    """Fields of one entry (all its lines, cleaned). A text of no known layout is message only."""
-    text = text.rstrip()
-    if text.startswith("{"):
-        return parse_json(text)
+def parse_keyed(text: str) -> Entry:
+    """Fields of an entry whose first line are ``key=value`` pairs."""
     head, newline, rest = text.partition("\n")
-    i = layout_of(signature(head))
-    if i < 0:
-        return Entry("text", "ok", "", "INFO", "", text)
-    layout = LAYOUTS[i]
-    if layout.name == "keyed":
-        pairs: dict[str, str] = {}
-        for k, v in _PAIR.findall(head):
-            pairs.setdefault(k, v)
-        get = lambda k: next((_unquote(pairs[x]) for x in _KEYED[k] if x in pairs), None)
-        message = get("message")
-        body = (head if message is None else clean_text(message)) + newline + rest
-        return Entry("text", "ok", get("ts") or "", severity(get("level")), get("component") or "", body.rstrip())
-    m = layout.fields.match(head)
-    if not m:
-        return Entry("text", "ok", "", "INFO", "", text)
-    f = m.groupdict()
-    level = _PRIORITIES[int(f["priority"]) % 8] if "priority" in f else severity(f.get("level"))
-    body = (f.get("message") or "") + newline + rest
-    return Entry("text", "ok", f["ts"].strip(), level, (f.get("component") or "").strip(), body.rstrip())
+    pairs: dict[str, str] = {}
+    for k, v in _PAIR.findall(head):
+        pairs.setdefault(k.lower(), v)
+    get = lambda k: next((_unquote(pairs[x]) for x in _KEYED[k] if x in pairs), None)
+    message = get("message")
+    body = (head if message is None else clean_text(message)) + newline + rest
+    return Entry("text", "ok", get("ts") or "", severity(get("level")), get("component") or "", body.rstrip())
+
+
+_PARSERS = {"json": parse_json, "keyed": parse_keyed}
+_LINES = r"(?s)^(?P<head>[^\n]*)(?P<rest>.*)$"
+
+
+def _canonical(levels: pa.Array) -> pa.Array:
+    """:func:`severity` of each of the few different level words."""
+    coded = pc.dictionary_encode(levels)
+    names = pa.array([severity(x) for x in coded.dictionary.to_pylist()], pa.string())
+    return pc.fill_null(names.take(coded.indices), "INFO")
+
+
+def _extracted(layout: Layout, text: pa.Array) -> list[pa.Array]:
+    """Fields of entries of one layout: its rule on all first lines together, which is message only where the rule does not fit."""
+    lines = pc.extract_regex(text, _LINES)
+    head, rest = (pc.struct_field(lines, i) for i in (0, 1))
+    got = pc.extract_regex(head, layout.fields)
+    fits = got.is_valid()
+    names = [f.name for f in got.type]
+    field = lambda k: pc.struct_field(got, names.index(k)) if k in names else pa.nulls(len(text), pa.string())
+    filled = lambda k: pc.utf8_trim_whitespace(pc.fill_null(field(k), ""))
+    if "priority" in names:
+        levels = pa.array([_PRIORITIES[int(p) % 8] if p else None for p in field("priority").to_pylist()], pa.string())
+    else:
+        levels = _canonical(field("level"))
+    body = pc.if_else(fits, pc.binary_join_element_wise(pc.fill_null(field("message"), ""), rest, ""), text)
+    n = len(text)
+    return [pa.repeat("text", n), pa.repeat("ok", n), filled("ts"), pc.fill_null(levels, "INFO"), filled("component"), pc.utf8_rtrim_whitespace(body)]
+
+
+def parse_entries(text: pa.Array, layout: pa.Array) -> pa.StructArray:
+    """Fields of entries (all their lines, cleaned) by the layout of their first line: each layout's entries together. -1 is message only."""
+    text = pc.utf8_rtrim_whitespace(pc.fill_null(text.cast(pa.string()), ""))
+    parts, places = [], []
+    for k in pc.unique(layout).to_pylist():
+        at = pc.indices_nonzero(pc.equal(layout, k))
+        some = text.take(at)
+        if k < 0:
+            n = len(some)
+            cols = [pa.repeat("text", n), pa.repeat("ok", n), pa.repeat("", n), pa.repeat("INFO", n), pa.repeat("", n), some]
+        elif LAYOUTS[k].fields is None:
+            cols = [pa.array(c, pa.string()) for c in zip(*map(_PARSERS[LAYOUTS[k].name], some.to_pylist()))]
+        else:
+            cols = _extracted(LAYOUTS[k], some)
+        parts.append(pa.StructArray.from_arrays(cols, names=list(Entry._fields)))
+        places.append(at)
+    if not parts:
+        return pa.StructArray.from_arrays([pa.array([], pa.string())] * len(Entry._fields), names=list(Entry._fields))
+    back = pc.sort_indices(pa.concat_arrays(places))
+    return pa.concat_arrays(parts).take(back)

@@ -11,7 +11,7 @@ from logweave import schemas
 from logweave.functions import ids, text
 from logweave.functions.layouts import parse_json
 from logweave.operators import templates
-from logweave.operators.log_entries import assemble
+from logweave.operators.log_entries import assemble, by_pattern
 from logweave.sources.files import align
 
 LEVELS = "TRACE|DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL"
@@ -57,7 +57,7 @@ def _json_field(keys: tuple) -> Column:
 
 def records(lines: DataFrame) -> DataFrame:
     """(source, record_pos, line_count, raw) of physical lines (source, line_no, line): colour codes left out, continuations attached."""
-    return assemble(lines, clean=lambda c: text.strip_ansi(F.coalesce(F.col(c), F.lit(""))), begins=lambda c: F.col(c).rlike(BEGINS)).withColumnRenamed("text", "raw")
+    return assemble(lines, clean=lambda c: text.strip_ansi(F.coalesce(F.col(c), F.lit(""))), layouts=by_pattern(BEGINS)).drop("layout").withColumnRenamed("text", "raw")
 
 
 def decode(recs: DataFrame, service: str, run_id: str, observed_at: str, include_raw: bool = False, strict: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     services = table(spark, folder, "services")
     of_events = instants.normalised_event_times(table(spark, folder, "log_events"), services)
-    return of_events.unionByName(instants.normalised_record_times(log_entries.log_entries(table(spark, folder, "raw_lines")), services))
+    return of_events.unionByName(instants.normalised_record_times(log_entries.json_entries(table(spark, folder, "raw_lines")), services))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found)}

@@ -1,6 +1,7 @@
 import json
 
-import pytest
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from logweave.functions import layouts as L
 from logweave.operators import log_entries as le
@@ -19,34 +20,50 @@ HEADS = [
     ('ts=2025-10-04T15:27:01.145Z level=info component=leaser msg="a \\"b\\"\\nc" took=8ms', "2025-10-04T15:27:01.145Z", "INFO", "leaser", 'a "b"\nc'),
     ('level=fatal ts=2025-10-05T01:33:12.957332883+1000 msg="x" component=shard.loop', "2025-10-05T01:33:12.957332883+1000", "FATAL", "shard.loop", "x"),
     ("2026-05-14T09:00:00Z INFO plain message", "2026-05-14T09:00:00Z", "INFO", "", "plain message"),
+    # heads of many tokens, of long ones, and pairs in any place
+    ("2025-10-03 22:29:39,685 INFO [pool a b c d e f g h i j k l] my.comp - hello", "2025-10-03 22:29:39,685", "INFO", "my.comp", "hello"),
+    (f"2025-10-03 22:29:39,685 INFO [{'t' * 2100}] my.comp - hello", "2025-10-03 22:29:39,685", "INFO", "my.comp", "hello"),
+    (f"2025-10-03 22:29:39,685 INFO [{'aB9/' * 600}] {'x.' * 300}y - hello", "2025-10-03 22:29:39,685", "INFO", "x." * 300 + "y", "hello"),
+    ('ts=2025-10-04T15:27:01.145Z caller=a.go:1 level=info msg="x"', "2025-10-04T15:27:01.145Z", "INFO", "a.go:1", "x"),
+    (" ".join(["ts=2025-10-04T15:27:01Z", *(f"k{i}=v{i}" for i in range(40)), 'note="b c" level=warn msg=x']), "2025-10-04T15:27:01Z", "WARNING", "", "x"),
 ]
 
 
-@pytest.mark.parametrize(("line", "ts", "level", "component", "body"), HEADS)
-def test_layouts(line, ts, level, component, body):
-    assert L.layout_of(L.signature(line)) >= 0
-    assert L.parse_entry(line) == L.Entry("text", "ok", ts, level, component, body)
-    assert L.parse_entry(line + "\nTraceback\n  File").body == body + "\nTraceback\n  File"
+def entries_of(spark, texts):
+    """Layout and fields of whole entries."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("head", F.substring_index("text", "\n", 1))
+    got = le.with_fields(le.with_layout(df, "head").drop("head").withColumnRenamed("_layout", "layout").withColumn("code", F.col("layout")))
+    return [(r.code, L.Entry(*[r[f] for f in L.Entry._fields])) for r in got.orderBy("i").collect()]
 
 
-@pytest.mark.parametrize("line", ["", "  File \"x.py\", line 3", "Traceback (most recent call last):", "2025-10-03 backlog of 69 entries", "- queue: 72", "}", '  "level": "INFO",', "0008  33 57 0e", "SELECT a.id", "\tat io.tarn.Worker.load(Voucher.java:247)", "ERROR", "ValueError: bad", " {"])
-def test_continuations(line):
-    assert L.layout_of(L.signature(line)) == -1
+def test_layouts(spark):
+    texts = [x[0] for x in HEADS] + [x[0] + "\nTraceback\n  File" for x in HEADS]
+    got = entries_of(spark, texts)
+    for (line, ts, level, component, body), (code, one), (_, more) in zip(HEADS, got, got[len(HEADS) :]):
+        assert code >= 0, line
+        assert one == L.Entry("text", "ok", ts, level, component, body)
+        assert more == one._replace(body=body + "\nTraceback\n  File")
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ('{"time":1761212112055,"severity":"warn","msg":"m ","service":"s"}', L.Entry("json", "ok", "1761212112055", "WARNING", "s", "m")),
-        ('{"@timestamp":"t","event":"e","resource":{"service.name":"r"}}', L.Entry("json", "ok", "t", "INFO", "r", "e")),
-        ("{broken", L.Entry("text", "degraded", "", "INFO", "", "{broken")),
-        ('{"a":1} ,"', L.Entry("text", "degraded", "", "INFO", "", '{"a":1} ,"')),
-        ('{"a":NaN}', L.Entry("text", "degraded", "", "INFO", "", '{"a":NaN}')),
-        ("", L.Entry("text", "ok", "", "INFO", "", "")),
-    ],
-)
-def test_json(text, want):
-    assert L.parse_entry(text) == want
+CONTINUATIONS = ["", "  File \"x.py\", line 3", "Traceback (most recent call last):", "2025-10-03 backlog of 69 entries", "- queue: 72", "}", '  "level": "INFO",', "0008  33 57 0e", "SELECT a.id", "\tat io.tarn.Worker.load(Voucher.java:247)", "ERROR", "ValueError: bad", " {", "count=3 retry=5 state=info", "a b c ts=2025-10-04T15:27:01Z level=info"]
+
+
+def test_continuations(spark):
+    assert [code for code, _ in entries_of(spark, CONTINUATIONS)] == [-1] * len(CONTINUATIONS)
+
+
+JSONS = [
+    ('{"time":1761212112055,"severity":"warn","msg":"m ","service":"s"}', L.Entry("json", "ok", "1761212112055", "WARNING", "s", "m")),
+    ('{"@timestamp":"t","event":"e","resource":{"service.name":"r"}}', L.Entry("json", "ok", "t", "INFO", "r", "e")),
+    ("{broken", L.Entry("text", "degraded", "", "INFO", "", "{broken")),
+    ('{"a":1} ,"', L.Entry("text", "degraded", "", "INFO", "", '{"a":1} ,"')),
+    ('{"a":NaN}', L.Entry("text", "degraded", "", "INFO", "", '{"a":NaN}')),
+    ("", L.Entry("text", "ok", "", "INFO", "", "")),
+]
+
+
+def test_json(spark):
+    assert [e for _, e in entries_of(spark, [t for t, _ in JSONS])] == [e for _, e in JSONS]
 
 
 def lines_of(spark, files):
@@ -54,18 +71,24 @@ def lines_of(spark, files):
     return spark.createDataFrame(rows + rows[:3], "source string, line_no long, line string, text string")
 
 
-def brute(files):
-    out = set()
+def brute(spark, files):
+    """Entries by a loop over the lines of each file, given the layout of every different line."""
+    cleaned = sorted({L.clean_text(x or "") for xs in files.values() for x in xs})
+    layout = {x: code for x, (code, _) in zip(cleaned, entries_of(spark, cleaned))}
+    keys, texts, codes = [], [], []
     for s, xs in files.items():
         entries = []
         for i, x in enumerate(xs):
             x = L.clean_text(x or "")
-            if not entries or L.layout_of(L.signature(x)) >= 0:
+            if not entries or layout[x] >= 0:
                 entries.append((i + 1, [x]))
             else:
                 entries[-1][1].append(x)
-        out |= {(s, p, len(e), *L.parse_entry("\n".join(e))) for p, e in entries}
-    return out
+        keys += [(s, p, len(e)) for p, e in entries]
+        texts += ["\n".join(e) for _, e in entries]
+        codes += [layout[e[0]] for _, e in entries]
+    fields = L.parse_entries(pa.array(texts, pa.string()), pa.array(codes, pa.int32())).to_pylist()
+    return {(*k, *f.values()) for k, f in zip(keys, fields)}
 
 
 def test_assembly_over_chunks(spark):
@@ -75,7 +98,7 @@ def test_assembly_over_chunks(spark):
         "raw/b/2": [f"{head}first", *["\tat x"] * 40, "", "{", '  "time": "2025-10-03T00:00:00Z",', '  "msg": "\\u001b[31mx\\u001b[0m"', "}", f"\x1b[31m{head}\x1b[0mlast"],
         "raw/c/3": [""],
     }
-    want = brute(files)
+    want = brute(spark, files)
     for chunk in (1, 3, 7, 4096):
         got = {(r.source, r.record_pos, r.line_count, r.parse_format, r.parse_status, r.ts_text, r.severity_text, r.component, r.body) for r in le.log_entries(lines_of(spark, files), chunk).collect()}
         assert got == want
@@ -102,4 +125,10 @@ def test_whole_tables_against_brute_force(spark, data):
     for r in df.dropDuplicates(["source", "line_no"]).orderBy("source", "line_no").collect():
         files.setdefault(r.source, []).append(r.line)
     got = {(r.source, r.record_pos, r.line_count, r.parse_format, r.parse_status, r.ts_text, r.severity_text, r.component, r.body) for r in le.log_entries(df, 16).collect()}
-    assert got == brute(files)
+    assert got == brute(spark, files)
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    want = entries_of(spark, [x[0] for x in HEADS])
+    monkeypatch.setattr(le, "RULES_BROADCAST", 2)
+    assert entries_of(spark, [x[0] for x in HEADS]) == want
