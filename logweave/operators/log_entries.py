@@ -80,7 +80,7 @@ def assemble(lines: DataFrame, chunk_lines: int = CHUNK_LINES, clean: Callable[[
     """
     chunk = F.expr(f"(line_no - 1) div {int(chunk_lines)}").alias("_chunk")
     rows = lines.where(F.col("source").isNotNull() & F.col("line_no").isNotNull()).select("source", chunk, F.col("line_no").cast("long").alias("line_no"), clean("line").alias("_line"))
-    rows = layouts(rows, "_line")
+    rows = layouts(rows.where("_chunk is not null"), "_line")  # said here, the plan has it in both readers of the shuffle
     place = ["source", "_chunk"]
     # one shuffle of the lines, read by the marks and by the pieces: both take whole rows from it
     once = rows.repartition(*place).groupBy(*place, "line_no").agg(F.min(F.struct("_line", "_layout")).alias("x"))
