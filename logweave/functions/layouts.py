@@ -55,12 +55,16 @@ COLLAPSE_PAIRS = (
     *COLLAPSE[:5],
     ("\x02", "T"),
     ("\x03", "V"),
-    (r'(?<![^ \t])[^ \t=]+=(?:"(?![^"]*9:9)(?:[^"\\]|\\.)*+"|(?!"|9|L(?:[ \t]|$))[^ \t]*+)(?=[ \t]|$)', "a=~"),
+    (r'(?<![^ \t])[^ \t=]+=(?:"(?!9|a, 9|a  ?9 9:9)(?:[^"\\]|\\.)*+"|(?!"|9|L(?:[ \t]|$))[^ \t]*+)(?=[ \t]|$)', "a=~"),
     (r"[ \t]+", " "),
     (r"(?:(?<![^ ])a=~ ){2,}", "a=~ "),
 )
 
 
+#: A collapsed head to the end of its last level word, and what is behind.
+BEHIND = r"^(.*L[^ \t]*)(.*)$"
+
+
 def signature(line: Column) -> Column:
     """The shape signature of a line's head; a line that starts with a brace is ``{``, one that no layout begins like has none."""
 
@@ -70,8 +74,16 @@ def signature(line: Column) -> Column:
             c = F.regexp_replace(c, pattern, token)
         return c
 
+    def tokens(c: Column) -> Column:
+        # behind the last level word only brackets, dashes and line numbers of a few tokens tell layouts apart
+        after = F.regexp_extract(c, BEHIND, 2)
+        for pattern, token in ((r"(?<![^ \t])\[[^\]]*\](?![^ \t])", "[~]"), (r"(?<![^ \t])(?!\[~\]|-(?:[ \t]|$))(-?)[^ \t]+?(:9)?(?=[ \t]|$)", "$1a$2")):
+            after = F.regexp_replace(after, pattern, token)
+        cut = F.concat(F.regexp_extract(c, BEHIND, 1), F.regexp_extract(after, r"^[ \t]*(?:[^ \t]+[ \t]*){0,5}", 0))
+        return F.when(c.rlike(r"^L +\|"), F.regexp_extract(c, r"^(?:[^|]*\|){1,3}", 0)).when(c.rlike("^L"), "L").when(c.contains("L"), cut).when(c.rlike("^(?:a9 9:9:|<9>)"), F.regexp_extract(c, r"^(?:[^ \t]+[ \t]*){0,6}", 0)).otherwise("")
+
     first = F.substring(line, 1, 1)
-    return F.when(first == "{", "{").when(~first.rlike(r"[A-Za-z0-9\[<_]"), "").when(line.rlike(PAIRS), collapsed(PAIRS, COLLAPSE_PAIRS)).otherwise(collapsed(TOKENS, COLLAPSE))
+    return F.when(first == "{", "{").when(~first.rlike(r"[A-Za-z0-9\[<_]"), "").when(line.rlike(PAIRS), collapsed(PAIRS, COLLAPSE_PAIRS)).otherwise(tokens(collapsed(TOKENS, COLLAPSE)))
 
 
 _T = (
