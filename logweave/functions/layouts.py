@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Level words of common logging systems and the level they stand for.
@@ -38,7 +38,8 @@ _VALUE = r'(?:"(?:[^"\\]|\\.)*+"|[^\s"]*+)'
 #: Heads of lines: all leading ``key=value`` pairs, or tokens of which one in brackets may hold blanks.
 PAIRS = rf"^(?>[A-Za-z_][\w.\-]*+={_VALUE}(?:[ \t]++|$))++"
 TOKENS = r"^(?>(?>\[[^\]\n]*+\][^ \t\n]*+|[^ \t\n]++)[ \t]*+){0,%d}" % HEAD_TOKENS
-_WORD = r"(?i)(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
+_INITIALS = "".join(sorted({w[0] for w in LEVEL_WORDS}))
+_WORD = rf"(?i)(?<![A-Za-z0-9_])(?=[{_INITIALS}])(?:%s)(?![A-Za-z0-9_])"
 #: Collapsing of a head, in order. A run of 48 characters of names is longer than any time: it stands for one word.
 COLLAPSE = (
     (r"[A-Za-z0-9_$+/.\-]{48,}", "a"),
@@ -65,8 +66,11 @@ COLLAPSE_PAIRS = (
 BEHIND = r"^(.*L[^ \t]*)(.*)$"
 
 
-def signature(line: Column) -> Column:
-    """The shape signature of a line's head; a line that starts with a brace is ``{``, one that no layout begins like has none."""
+def with_signature(df: DataFrame, line: str, out: str) -> DataFrame:
+    """Add the shape signature of a line's head; of a line that starts with a brace it is ``{``, of one that no layout begins like it is empty.
+
+    A column per step, so that no step is evaluated twice.
+    """
 
     def collapsed(head: str, steps: tuple) -> Column:
         c = F.regexp_extract(line, head, 0)
@@ -74,16 +78,17 @@ def signature(line: Column) -> Column:
             c = F.regexp_replace(c, pattern, token)
         return c
 
-    def tokens(c: Column) -> Column:
-        # behind the last level word only brackets, dashes and line numbers of a few tokens tell layouts apart
-        after = F.regexp_extract(c, BEHIND, 2)
-        for pattern, token in ((r"(?<![^ \t])\[[^\]]*\](?![^ \t])", "[~]"), (r"(?<![^ \t])(?!\[~\]|-(?:[ \t]|$))(-?)[^ \t]+?(:9)?(?=[ \t]|$)", "$1a$2")):
-            after = F.regexp_replace(after, pattern, token)
-        cut = F.concat(F.regexp_extract(c, BEHIND, 1), F.regexp_extract(after, r"^[ \t]*(?:[^ \t]+[ \t]*){0,5}", 0))
-        return F.when(c.rlike(r"^L +\|"), F.regexp_extract(c, r"^(?:[^|]*\|){1,3}", 0)).when(c.rlike("^L"), "L").when(c.contains("L"), cut).when(c.rlike("^(?:a9 9:9:|<9>)"), F.regexp_extract(c, r"^(?:[^ \t]+[ \t]*){0,6}", 0)).otherwise("")
-
     first = F.substring(line, 1, 1)
-    return F.when(first == "{", "{").when(~first.rlike(r"[A-Za-z0-9\[<_]"), "").when(line.rlike(PAIRS), collapsed(PAIRS, COLLAPSE_PAIRS)).otherwise(tokens(collapsed(TOKENS, COLLAPSE)))
+    kind = F.when(first == "{", 0).when(~first.rlike(r"[A-Za-z0-9\[<_]"), 1).when(F.col(line).rlike(r"^[A-Za-z_][\w.\-]*="), 2).otherwise(3)
+    df = df.withColumn("_kind", kind).withColumn("_head", F.when(F.col("_kind") == 2, collapsed(PAIRS, COLLAPSE_PAIRS)).when(F.col("_kind") == 3, collapsed(TOKENS, COLLAPSE)))
+    # behind the last level word only brackets, dashes and line numbers of a few tokens tell layouts apart
+    head, after = F.col("_head"), F.regexp_extract("_head", BEHIND, 2)
+    for pattern, token in ((r"(?<![^ \t])\[[^\]]*\](?![^ \t])", "[~]"), (r"(?<![^ \t])(?!\[~\]|-(?:[ \t]|$))(-?)[^ \t]+?(:9)?(?=[ \t]|$)", "$1a$2")):
+        after = F.regexp_replace(after, pattern, token)
+    cut = F.concat(F.regexp_extract(head, BEHIND, 1), F.regexp_extract(after, r"^[ \t]*(?:[^ \t]+[ \t]*){0,5}", 0))
+    no_level = F.when(head.rlike("^(?:a9 9:9:|<9>)"), F.regexp_extract(head, r"^(?:[^ \t]+[ \t]*){0,6}", 0)).otherwise("")
+    tokens = F.when(~head.contains("L"), no_level).when(~head.startswith("L"), cut).when(head.rlike(r"^L +\|"), F.regexp_extract(head, r"^(?:[^|]*\|){1,3}", 0)).otherwise("")
+    return df.withColumn(out, F.when(F.col("_kind") == 0, "{").when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, head).otherwise(tokens)).drop("_kind", "_head")
 
 
 _T = (

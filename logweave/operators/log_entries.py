@@ -48,9 +48,9 @@ def with_layout(df: DataFrame, line: str) -> DataFrame:
 
     The distinct signatures of all rows are counted before the rules are sent to the executors.
     """
-    rules = materialised(df.select(L.signature(F.col(line)).alias("_rule")).distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"))
+    rules = materialised(L.with_signature(df.select(line), line, "_rule").select("_rule").distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"))
     rules = F.broadcast(rules) if rules.count() <= RULES_BROADCAST else rules
-    found = df.withColumn("_rule", L.signature(F.col(line))).join(rules, "_rule", "left")
+    found = L.with_signature(df, line, "_rule").join(rules, "_rule", "left")
     return found.withColumn("_layout", F.coalesce("_layout", F.lit(-1))).drop("_rule")
 
 
