@@ -2,16 +2,18 @@
 
 Two-level merge: intervals are clipped into time shards and merged inside each
 (entity, shard), so an entity with a third of all rows is many groups.  An
-interval over many shards is two clipped ends and one row for the shards it
-covers whole.  Only pieces that touch a shard boundary, and the covered
-stretches (at most one per first shard), are stitched across shards.
+interval over many shards is two clipped ends and one piece for the shards it
+covers whole, which stands in the first of them.  One row per (entity, shard)
+then tells how far the shards before reach and which period is open there;
+with it the pieces that touch a shard boundary are stitched, and pieces inside
+a covered stretch are dropped where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.operators.instants import clean_name, instant
@@ -20,12 +22,42 @@ from logweave.operators.instants import clean_name, instant
 SHARD = 3_600_000
 
 
-def _islands(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Union of [s, e) per group: touching intervals are one."""
-    order = Window.partitionBy(*by).orderBy("s", "e")
-    seen = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(F.col("s") <= seen, 0).otherwise(1)).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_no").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_no")
+def _shard(c: str, shard: int) -> Column:
+    return F.expr(f"({c} - pmod({c}, {int(shard)})) div {int(shard)}")
+
+
+def _periods(df: DataFrame, entity: Sequence[str], start: str, end: str, shard: int) -> DataFrame:
+    """(_e, sh, s, e): merged intervals with the shard of their start, hash-partitioned by (_e, sh). ``_e`` is never null, its fields may be."""
+    rows = df.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(entity)]).alias("_e"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("e > s")
+    cut = rows.withColumn("lo", _shard("s", shard)).withColumn("hi", _shard("(e - 1)", shard))
+    piece = lambda sh, a, z: F.struct(F.expr(sh).alias("sh"), F.expr(a).cast("long").alias("s"), F.expr(z).cast("long").alias("e"))
+    first, last = piece("lo", "s", f"(lo + 1) * {shard}"), piece("hi", f"hi * {shard}", "e")
+    pieces = F.when(F.expr("lo = hi"), F.array(piece("lo", "s", "e"))).when(F.expr("hi = lo + 1"), F.array(first, last)).otherwise(F.array(first, last, piece("lo + 1", f"(lo + 1) * {shard}", f"hi * {shard}")))
+    # of pieces with one start the longest holds: combined before the shuffle, many intervals may end in one shard
+    clipped = cut.select("_e", F.explode(pieces).alias("p")).groupBy("_e", "p.sh", "p.s").agg(F.max("p.e").alias("e")).where("sh is not null")  # said for both readers of the shuffle, which the join below would else tell apart
+    in_shard = Window.partitionBy("_e", "sh").orderBy("s")
+    reached = F.max("e").over(in_shard.rowsBetween(Window.unboundedPreceding, -1))
+    marked = clipped.repartition("_e", "sh").withColumn("_new", F.when(F.col("s") <= reached, 0).otherwise(1)).withColumn("_no", F.sum("_new").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
+    local = marked.groupBy("_e", "sh", "_no").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    # per shard: how far the shards before reach, and the start of the last period that begins in them
+    before = Window.partitionBy("_e").orderBy("sh").rowsBetween(Window.unboundedPreceding, -1)
+    shards = local.groupBy("_e", "sh").agg(F.max("s").alias("_last"), F.max("e").alias("_to")).withColumn("_reach", F.max("_to").over(before))
+    opened = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    shards = shards.withColumn("_opened", opened).withColumn("_open", F.last("_opened", ignorenulls=True).over(before)).select("_e", "sh", "_reach", "_open")
+    begins = F.col("_reach").isNull() | (F.col("s") > F.col("_reach"))
+    stitched = local.join(shards, ["_e", "sh"]).where(begins | (F.col("e") > F.col("_reach"))).select("_e", F.when(begins, F.col("s")).otherwise(F.col("_open")).alias("s"), "e")
+    return stitched.withColumn("sh", _shard("s", shard)).where("sh is not null").repartition("_e", "sh").groupBy("_e", "sh", "s").agg(F.max("e").alias("e"))
+
+
+def _next_start(periods: DataFrame) -> DataFrame:
+    """Add ``_to``, the start of the entity's next period: inside its shard, or the first of the next shard that has any."""
+    in_shard = Window.partitionBy("_e", "sh").orderBy("s")
+    later = periods.groupBy("_e", "sh").agg(F.min("s").alias("_first"), F.max("e").alias("_any")).select("_e", "sh", F.lead("_first").over(Window.partitionBy("_e").orderBy("sh")).alias("_later"))
+    return periods.withColumn("_next", F.lead("s").over(in_shard)).join(later, ["_e", "sh"]).withColumn("_to", F.coalesce("_next", "_later"))
+
+
+def _entity(entity: Sequence[str]) -> list[Column]:
+    return [F.col(f"_e.k{i}").alias(c) for i, c in enumerate(entity)]
 
 
 def merge_intervals(df: DataFrame, entity: Sequence[str], start: str, end: str, shard: int = SHARD) -> DataFrame:
@@ -34,52 +66,22 @@ def merge_intervals(df: DataFrame, entity: Sequence[str], start: str, end: str,
     Intervals with a null bound or an end not after the start are ignored;
     null entities are one entity each, as in GROUP BY.
     """
-    ent = [f"_e{i}" for i in range(len(entity))]
-    rows = df.select(*[F.col(c).alias(a) for c, a in zip(entity, ent)], F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("e > s")
-    rows = rows.groupBy(*ent, "s").agg(F.max("e").alias("e"))  # of equal starts the longest holds: combined before the shuffle
-    # lo, hi: shards of the first and the last moment
-    cut = rows.withColumn("lo", F.floor(F.col("s") / F.lit(shard))).withColumn("hi", F.floor((F.col("e") - 1) / F.lit(shard)))
-    piece = lambda a, b: F.struct(a.cast("long").alias("s"), b.cast("long").alias("e"))
-    ends = F.when(F.col("lo") == F.col("hi"), F.array(piece(F.col("s"), F.col("e")))).otherwise(F.array(piece(F.col("s"), (F.col("lo") + 1) * shard), piece(F.col("hi") * shard, F.col("e"))))
-    clipped = cut.select(*ent, F.explode(ends).alias("p")).select(*ent, F.floor(F.col("p.s") / F.lit(shard)).alias("sh"), F.col("p.s").alias("s"), F.col("p.e").alias("e"))
-    local = _islands(clipped, [*ent, "sh"])
-    whole = cut.where("hi - lo > 1").groupBy(*ent, "lo").agg(F.max("hi").alias("hi"))
-    whole = whole.select(*ent, ((F.col("lo") + 1) * shard).cast("long").alias("s"), (F.col("hi") * shard).cast("long").alias("e"))
-    # shards that are covered whole swallow their inner pieces, so these wait for the stitched stretches
-    touches = (F.col("s") % shard == 0) | (F.col("e") % shard == 0)
-    edges = local.where(touches).select(*ent, "s", "e").unionByName(whole)
-    stitched = _islands(edges, ent)
-    inner = local.where(~touches).select(*ent, "sh", "s", "e")
-    cover = whole.withColumn("a", F.floor(F.col("s") / F.lit(shard))).groupBy(*ent, "a").agg(F.max("e").alias("e"))
-    reach = Window.partitionBy(*ent).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    # is the shard of an inner piece inside a covered stretch? one row per (entity, shard) in the window
-    shards = inner.select(*ent, F.col("sh").alias("at")).distinct().withColumn("kind", F.lit(1)).withColumn("upto", F.lit(None).cast("long"))
-    covers = cover.select(*ent, F.col("a").alias("at"), F.lit(0).alias("kind"), F.floor(F.col("e") / F.lit(shard)).alias("upto"))
-    free = shards.unionByName(covers).withColumn("m", F.max("upto").over(reach)).where("kind = 1 and (m is null or m <= at)").select(*ent, F.col("at").alias("sh"))
-    same = [inner[c].eqNullSafe(free[c]) for c in [*ent, "sh"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    kept = inner.join(free, cond, "left_semi").select(*ent, "s", "e")
-    # pieces that only touch a boundary from inside and join nothing are periods of their own in `stitched`
-    return stitched.unionByName(kept).select(*[F.col(a).alias(c) for a, c in zip(ent, entity)], F.col("s").alias(start), F.col("e").alias(end))
+    return _periods(df, entity, start, end, shard).select(*_entity(entity), F.col("s").alias(start), F.col("e").alias(end))
 
 
 def gaps(periods: DataFrame, entity: Sequence[str], start: str, end: str, shard: int = SHARD) -> DataFrame:
-    """The spaces between one merged period of an entity and the next.
+    """The spaces between one merged period of an entity and the next."""
+    keyed = periods.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(entity)]).alias("_e"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
+    led = _next_start(keyed.withColumn("sh", _shard("s", shard)).where("sh is not null").repartition("_e", "sh"))
+    return led.where("_to is not null").select(*_entity(entity), F.col("e").alias(start), F.col("_to").alias(end))
 
-    The next period is looked up within (entity, shard of the start); the last
-    one of a shard takes the first start of the next shard that has any.
-    """
-    rows = periods.withColumn("_sh", F.floor(F.col(start) / F.lit(shard)))
-    inside = Window.partitionBy(*entity, "_sh").orderBy(start)
-    per_shard = rows.groupBy(*entity, "_sh").agg(F.min(start).alias("_first"))
-    nexts = per_shard.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate(entity)], F.col("_sh").alias("_jsh"), F.lead("_first").over(Window.partitionBy(*entity).orderBy("_sh")).alias("_later"))
-    cond = F.col("_sh") == F.col("_jsh")
-    for i, c in enumerate(entity):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_j{i}"))
-    led = rows.withColumn("_next", F.lead(start).over(inside)).join(nexts, cond)
-    return led.withColumn("_to", F.coalesce("_next", "_later")).where(F.col("_to").isNotNull()).select(*entity, F.col(end).alias(start), F.col("_to").alias(end))
+
+def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: str, end: str, shard: int = SHARD) -> DataFrame:
+    """(entity, period_kind, start, end): merged intervals (``down``) and the gaps behind them (``gap``), from one evaluation."""
+    kind = lambda k, a, z: F.struct(F.lit(k).alias("k"), F.col(a).alias("a"), F.col(z).alias("z"))
+    led = _next_start(_periods(df, entity, start, end, shard))
+    both = led.select("_e", F.explode(F.array(kind("down", "s", "e"), kind("gap", "e", "_to"))).alias("p")).where("p.z is not null")
+    return both.select(*_entity(entity), F.col("p.k").alias("period_kind"), F.col("p.a").alias(start), F.col("p.z").alias(end))
 
 
 def downtime(incidents: DataFrame, runs: DataFrame) -> DataFrame:
@@ -95,6 +97,4 @@ def downtime(incidents: DataFrame, runs: DataFrame) -> DataFrame:
     ms = lambda c: F.floor(F.col(c) / 1000).cast("long")
     rows = rows.where("_b > _a").select("run_id", "dependency", ms("_a").alias("start_ms"), ms("_b").alias("end_ms"))
     keys = ["run_id", "dependency"]
-    down = merge_intervals(rows, keys, "start_ms", "end_ms")
-    both = down.withColumn("period_kind", F.lit("down")).unionByName(gaps(down, keys, "start_ms", "end_ms").withColumn("period_kind", F.lit("gap")))
-    return both.select("run_id", "dependency", "period_kind", "start_ms", "end_ms")
+    return periods_and_gaps(rows, keys, "start_ms", "end_ms").select("run_id", "dependency", "period_kind", "start_ms", "end_ms")

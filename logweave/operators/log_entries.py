@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from logweave.functions import layouts as L
 from logweave.operators.combine import combine_batches
-from logweave.session import materialised
+from logweave.session import sized
 
 #: Lines per chunk of a file: bounds every group of the assembly.
 CHUNK_LINES = 4096
@@ -48,8 +48,7 @@ def with_layout(df: DataFrame, line: str) -> DataFrame:
 
     The distinct signatures of all rows are counted before the rules are sent to the executors.
     """
-    rules = materialised(L.with_signature(df.select(line), line, "_rule").select("_rule").distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"))
-    rules = F.broadcast(rules) if rules.count() <= RULES_BROADCAST else rules
+    rules = sized(L.with_signature(df.select(line), line, "_rule").select("_rule").distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"), RULES_BROADCAST)
     found = L.with_signature(df, line, "_rule").join(rules, "_rule", "left")
     return found.withColumn("_layout", F.coalesce("_layout", F.lit(-1))).drop("_rule")
 

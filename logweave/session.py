@@ -28,13 +28,15 @@ def get_spark(app: str = "logweave", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only in a local session where it is unset (tests) a folder of our own."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
     sc.setCheckpointDir(path)
     return path
@@ -46,6 +48,14 @@ def materialised(df):
     return df.checkpoint()
 
 
+def sized(df, most_rows: int = 100_000):
+    """A table that is to be broadcast: written once, then marked for broadcast only if it has at most ``most_rows`` rows; a larger one is joined by a shuffle."""
+    from pyspark.sql import functions as F
+
+    done = materialised(df)
+    return F.broadcast(done) if done.count() <= most_rows else done
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once: they need not have it installed, nor share the driver's folder."""
     sc = spark.sparkContext
