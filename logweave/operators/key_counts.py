@@ -2,11 +2,13 @@
 
 Rows are range-partitioned and sorted by (key, member), so the ranges are of
 equal size whatever the keys are: a hot key is cut into many ranges, and copies
-of one row are combined where they are read.  In each
-range the rows of a key are counted and numbered and processed as chunks of at
-most :data:`CHUNK_ROWS` rows; prefix sums over the chunk summaries (a few
-values per chunk) give each chunk its exact offset within its key, and the
-ordered boundary states of neighbouring chunks are merged.
+of one row are combined where they are read.  Each range counts its keys, in
+pieces of at most :data:`PIECE_ROWS` rows (rows, different members, first and
+last member).  Prefix sums over these counts give each piece the exact number
+of its first row within its key; by this number the pieces are put together to
+chunks of :data:`CHUNK_ROWS` rows, equal for all keys and wherever the ranges
+were cut, and in order of the numbers the boundary states of neighbouring
+pieces and chunks are merged: a member on both sides counts once.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ from pyspark.sql import types as T
 from logweave.operators.combine import combine_batches
 from logweave.operators.instants import clean_name
 
-CHUNK_ROWS = 1 << 16
+#: Rows of a piece, the unit in which rows are counted and numbered.
+PIECE_ROWS = 1 << 16
+#: Rows of a chunk; chunks are equal to within one piece.
+CHUNK_ROWS = 1 << 20
 
 
-def _chunks(n_keys: int, chunk_rows: int):
-    """Summaries of the chunks of one sorted range: keys, range and chunk number, rows, distinct members, first and last member."""
+def _pieces(n_keys: int, piece_rows: int):
+    """Counts of the keys of one sorted range in pieces: keys, range and piece number, rows, different members, first and last member."""
     names = [f"k{i}" for i in range(n_keys)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         key, seq = None, 0
-        rows = distinct = held = 0  # rows of the chunk with copies, its different members, its rows as they are
+        rows = distinct = held = 0  # rows of the piece with copies, its different members, its rows as they are
         first = last = None
         out: list[tuple] = []
 
@@ -66,7 +71,7 @@ def _chunks(n_keys: int, chunk_rows: int):
                     key, seq, last = k, 0, None
                 at = a
                 while at < z:
-                    upto = min(z, at + chunk_rows - held)
+                    upto = min(z, at + piece_rows - held)
                     head = member[at].as_py()
                     inner = int((steps[upto - 2] if upto > 1 else 0) - (steps[at - 1] if at else 0)) if upto - at > 1 else 0
                     distinct += inner + (1 if held == 0 or head != last else 0)
@@ -76,7 +81,7 @@ def _chunks(n_keys: int, chunk_rows: int):
                     held += upto - at
                     rows += int(before[upto] - before[at])
                     at = upto
-                    if held == chunk_rows:
+                    if held == piece_rows:
                         close()
             if len(out) >= 10_000:
                 yield _batch(out)
@@ -93,27 +98,37 @@ def _chunks(n_keys: int, chunk_rows: int):
     return run
 
 
-def key_chunks(df: DataFrame, keys: Sequence[Column], member: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Chunk summaries with exact offsets: k0.., part, seq, n_rows, n_members, first, last, row_offset, joined.
+def key_pieces(df: DataFrame, keys: Sequence[Column], member: Column, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Counted and numbered pieces: k0.., part, seq, n_rows, n_members, first, last, row_offset, joined.
 
-    row_offset: rows of the key before the chunk; joined: whether its first
-    member is the last one of the chunk before.  Keys and members are strings;
+    row_offset: rows of the key before the piece; joined: whether its first
+    member is the last one of the piece before.  Keys and members are strings;
     rows with a null key or member are left out.
     """
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*[k.cast("string").alias(n) for k, n in zip(keys, names)], member.cast("string").alias("m")).na.drop()
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(n, T.LongType()) for n in ("part", "seq", "n_rows", "n_members")] + [T.StructField(n, T.StringType()) for n in ("first", "last")])
     ranged = combine_batches(rows, [*names, "m"], count="c").repartitionByRange(*names, "m").sortWithinPartitions(*names, "m")
-    chunks = ranged.mapInArrow(_chunks(len(names), chunk_rows), schema)
     order = Window.partitionBy(*names).orderBy("part", "seq")
-    return chunks.withColumn("row_offset", F.coalesce(F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("joined", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))
+    offset = F.coalesce(F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.mapInArrow(_pieces(len(names), piece_rows), schema).withColumn("row_offset", offset).withColumn("joined", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))
 
 
-def distinct_members_by_key(df: DataFrame, keys: dict[str, Column], member: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def key_chunks(df: DataFrame, keys: Sequence[Column], member: Column, piece_rows: int = PIECE_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Equal chunks of each key: k0.., chunk, first_row, n_rows, n_members (those that the chunk before does not end with), first, last."""
+    names = [f"k{i}" for i in range(len(keys))]
+    pieces = key_pieces(df, keys, member, min(piece_rows, chunk_rows)).withColumn("chunk", F.expr(f"row_offset div {int(chunk_rows)}"))
+    return pieces.groupBy(*names, "chunk").agg(
+        F.min("row_offset").alias("first_row"), F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_members") - F.col("joined").cast("long")).alias("n_members"),
+        F.min_by("first", "row_offset").alias("first"), F.max_by("last", "row_offset").alias("last"),
+    )
+
+
+def distinct_members_by_key(df: DataFrame, keys: dict[str, Column], member: Column, piece_rows: int = PIECE_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Exact number of rows and of different members per key, without a task that holds a hot key."""
-    chunks = key_chunks(df, list(keys.values()), member, chunk_rows)
+    chunks = key_chunks(df, list(keys.values()), member, piece_rows, chunk_rows)
     by = [F.col(f"k{i}").alias(name) for i, name in enumerate(keys)]
-    return chunks.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_members") - F.col("joined").cast("long")).alias("n_members"))
+    return chunks.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_members").alias("n_members"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Problem 2: what changed between consecutive full snapshots.
 
-All snapshots are range-partitioned by key and sorted by key and snapshot, so
-one pass over a range is a merge of every snapshot with the one before it: two
-neighbouring rows of a key are the two pointers.  A hot service is split, since
-ranges are cut by (service, template).
+All snapshots are range-partitioned by key and kept sorted by key and snapshot:
+one shuffle, after copies of a row were combined where they are read.  One pass
+over a range is then a merge of every snapshot with the one before it, two
+neighbouring rows of a key being the two pointers.  A hot service is split,
+since ranges are cut by (service, template).
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators.combine import combine_batches
 from logweave.operators.instants import clean_name
+from logweave.session import sized
 
 # The seven levels; anything else is INFO, WARN is WARNING.
 SEVEN = ("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL", "FATAL")
@@ -39,19 +42,18 @@ def snapshot_changes(snapshots: DataFrame, group: str, key: str, snapshot: str,
     row.  Rows with a null group, key or snapshot are no keys; a row with a
     null key still shows that its group was delivered.
     """
-    digest = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(compared)])
-    rows = snapshots.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(snapshot).cast("long").alias("_s"), F.col(delivered).alias("_d"), digest.alias("_v")).where("_g is not null and _s is not null")
-    # the calendar: which snapshots each group has (pre-aggregated on the map side; groups x snapshots rows)
+    values = [f"_v{i}" for i in range(len(compared))]
+    rows = snapshots.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(snapshot).cast("long").alias("_s"), F.col(delivered).alias("_d"), *[c.alias(v) for c, v in zip(compared, values)]).where("_g is not null and _s is not null")
+    # which snapshots each group has: groups x snapshots rows, combined on the map side
     in_order = Window.partitionBy("_g").orderBy("_s")
-    calendar = rows.select("_g", "_s").distinct().select("_g", "_s", F.row_number().over(in_order).alias("_no"), F.lead("_s").over(in_order).alias("_after"))
-    dated = rows.where("_k is not null").join(calendar, ["_g", "_s"])
-    # the row that holds in each snapshot: combined on the map side, so copies of a row are no hot group
-    holds = dated.groupBy("_g", "_k", "_s", "_no", "_after").agg(F.max(F.struct("_d", "_v")).alias("_m")).select("*", F.col("_m._v").alias("_v")).repartitionByRange("_g", "_k")
-    # in each range the merge of neighbours, which needs no further shuffle
+    calendar = sized(rows.select("_g", "_s").distinct().select("_g", "_s", F.row_number().over(in_order).alias("_no"), F.lead("_s").over(in_order).alias("_after")))
+    ranged = combine_batches(rows.where("_k is not null"), ["_g", "_k", "_s", "_d", *values]).repartitionByRange("_g", "_k")
+    # the row that holds in each snapshot; ranges are whole keys, so nothing is moved any more
+    holds = ranged.groupBy("_g", "_k", "_s").agg(F.max(F.struct("_d", F.struct(*values).alias("v"))).alias("_m")).select("_g", "_k", "_s", F.col("_m.v").alias("_v")).join(calendar, ["_g", "_s"])
     walk = Window.partitionBy("_g", "_k").orderBy("_s")
     pair = holds.select("*", F.lag("_no").over(walk).alias("_pn"), F.lag("_v").over(walk).alias("_pv"), F.lead("_no").over(walk).alias("_nn"))
     consecutive = F.col("_pn").eqNullSafe(F.col("_no") - 1)
-    differing = sum((F.when(F.col("_v")[f"c{i}"].eqNullSafe(F.col("_pv")[f"c{i}"]), 0).otherwise(1) for i in range(len(compared))), F.lit(0))
+    differing = sum((F.when(F.col("_v")[v].eqNullSafe(F.col("_pv")[v]), 0).otherwise(1) for v in values), F.lit(0))
     events = F.array(
         F.when(~consecutive & (F.col("_no") > 1), F.struct(F.col("_s").alias("s"), F.lit("added").alias("kind"), F.lit(0).alias("n"))),
         F.when(consecutive & (differing > 0), F.struct(F.col("_s").alias("s"), F.lit("changed").alias("kind"), differing.alias("n"))),

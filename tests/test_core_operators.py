@@ -60,8 +60,15 @@ def test_key_counts(spark, chunk):
     got = key_counts.distinct_members_by_key(df, {"service_name": F.lower(F.trim("service_name")), "template_id": F.col("template_id")}, F.col("event_id"), chunk)
     assert {tuple(r) for r in got.collect()} == {("s", "t", 401, 97), ("r", "u", 1, 1)}
     assert {tuple(r) for r in key_counts.event_counts(df).collect()} == {("s", "t", 97), ("r", "u", 1)}
-    offsets = key_counts.key_chunks(df, [F.lower(F.trim("service_name")), F.col("template_id")], F.col("event_id"), chunk).where("k0 = 's'").orderBy("row_offset").collect()
+    keys = [F.lower(F.trim("service_name")), F.col("template_id")]
+    offsets = key_counts.key_pieces(df, keys, F.col("event_id"), chunk).where("k0 = 's'").orderBy("row_offset").collect()
     assert [c.row_offset for c in offsets] == [sum(x.n_rows for x in offsets[:i]) for i in range(len(offsets))] and all(c.n_members <= chunk for c in offsets)
+    # chunks: equal but for the last and a piece (copies combined in a batch are rows of one piece), in order, all rows once
+    chunks = key_counts.key_chunks(df, keys, F.col("event_id"), chunk, 50).where("k0 = 's'").orderBy("chunk").collect()
+    assert sum(c.n_rows for c in chunks) == 401 and [c.first_row for c in chunks] == [sum(x.n_rows for x in chunks[:i]) for i in range(len(chunks))]
+    assert all(a.last <= b.first for a, b in zip(chunks, chunks[1:]))
+    if chunk == 1:
+        assert all(45 <= c.n_rows <= 55 for c in chunks[:-1])
 
 
 def test_key_counts_of_no_rows(spark):
