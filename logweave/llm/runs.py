@@ -124,12 +124,13 @@ def _encode(agree: float, min_events: int):
 
 
 def _linked(agree: float) -> Column:
-    """Whether an edge run goes on from the edge run before it in another chunk."""
-    a = F.split(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), " ")
-    b = F.split(F.lower(F.trim(F.regexp_replace("first_text", r"\s+", " "))), " ")
-    equal = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    alike = (F.size(a) == F.size(b)) & (F.trim("first_text") != "") & (equal >= agree * F.size(a) - 1e-9)
-    return F.coalesce((F.col("_part") < F.col("part")) & ((F.col("_template") == F.col("first_template")) | F.coalesce(alike, F.lit(False))), F.lit(False))
+    """Whether an edge run goes on from the edge run before it in another chunk: the same rule as inside a chunk, words split alike."""
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(_words(x), _words(y), agree) for x, y in zip(a, b)], dtype=bool)
+
+    return F.coalesce(F.col("_before") & ((F.col("_template") == F.col("first_template")) | alike("_text", "first_text")), F.lit(False))
 
 
 def event_runs(events: DataFrame, services: DataFrame, agree: float = AGREE, min_events: int = MIN_EVENTS, partitions: int | None = None) -> DataFrame:
@@ -148,14 +149,16 @@ def event_runs(events: DataFrame, services: DataFrame, agree: float = AGREE, min
     rows = combine_batches(rows, [*key, "template_id", "text", "ts", "zone", "order"], least=["observed"])
     ranged = rows.repartitionByRange(partitions, *key) if partitions else rows.repartitionByRange(*key)
     runs = ranged.sortWithinPartitions(*key, "ts", "observed").mapInPandas(_encode(agree, min_events), _EDGE)
-    edges = runs.where("edge")
-    order = Window.partitionBy("service", "source").orderBy("part", "seq")
-    prior = edges.select("*", *[F.lag(c).over(order).alias(a) for c, a in (("last_template", "_template"), ("last_text", "_text"), ("part", "_part"))])
+    # one pass over the runs: edges meet the edges of their source, runs inside a chunk stand for themselves
+    slot = F.when(F.col("edge"), F.lit(-1).cast("long")).otherwise(F.col("part"))
+    by = ["service", "source", "_slot"]
+    order = Window.partitionBy(*by).orderBy("part", "seq")
+    prior = runs.withColumn("_slot", slot).select("*", *[F.lag(c).over(order).alias(a) for c, a in (("last_template", "_template"), ("last_text", "_text"), ("part", "_part"))])
+    prior = prior.withColumn("_before", F.col("edge") & (F.col("_part") < F.col("part")))
     chained = prior.withColumn("_chain", F.sum(F.when(_linked(agree), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct("part", "seq")
-    merged = chained.groupBy("service", "source", "_chain").agg(F.min_by("first_event_id", at).alias("first_event_id"), F.max_by("last_event_id", at).alias("last_event_id"), F.sum("n_events").alias("n_events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    cols = ["service", "source", "first_event_id", "last_event_id", "n_events", "first_us", "last_us"]
-    return runs.where("not edge").select(*cols).unionByName(merged.select(*cols)).where(F.col("n_events") >= min_events)
+    merged = chained.groupBy(*by, "_chain").agg(F.min_by("first_event_id", at).alias("first_event_id"), F.max_by("last_event_id", at).alias("last_event_id"), F.sum("n_events").alias("n_events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    return merged.select("service", "source", "first_event_id", "last_event_id", "n_events", "first_us", "last_us").where(F.col("n_events") >= min_events)
 
 
 def found(runs: DataFrame) -> DataFrame:

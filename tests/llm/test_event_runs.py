@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from logweave.llm import runs
 
@@ -54,3 +56,15 @@ def test_duration_and_no_rows(spark):
     got = {tuple(r) for r in runs.found(runs.event_runs(spark.createDataFrame(rows, SCHEMA), services)).collect()}
     assert got == {("e0", "e3", 4, 10999), ("n0", "n2", 3, 0)}
     assert runs.found(runs.event_runs(spark.createDataFrame([], SCHEMA), services)).count() == 0
+
+
+BLANKS = st.text(st.sampled_from(" \t\u00a0\u2003\u3000\u1680\x1f\x85\u200b"), min_size=1, max_size=2)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(blanks=st.lists(BLANKS, min_size=12, max_size=12), partitions=st.integers(1, 8))
+def test_blanks_of_any_kind_and_any_partitions(spark, blanks, partitions):
+    rows = [(f"e{i:02}", "s", i, "svc", f"t{i}", f"a{b}b c{b}d {i % 2 if i % 5 else 'x y'}", None, None, 1) for i, b in enumerate(blanks)]
+    services = spark.createDataFrame([("svc", "UTC", "dmy")], "service_name string, time_zone string, date_order string")
+    got = runs.event_runs(spark.createDataFrame(rows, SCHEMA), services, partitions=partitions).collect()
+    assert {(r.first_event_id, r.last_event_id, r.n_events) for r in got} == brute(rows)
