@@ -16,6 +16,11 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, folder, "documents")), table(spark, folder, "pack_capacities"))
 
 
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of p7_pack are, against the least number possible."""
+    return packing.fill(p7_pack(spark, folder), table(spark, folder, "pack_capacities"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
@@ -24,7 +29,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_pack, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p7_pack, p7_fill, p8_found, p9_found)}
 
 #: None of these is given as SQL: timestamps of many forms, an order-dependent packing, MIME decoding and a trained model.
 #: They are tested against brute force instead (tests/llm).

@@ -58,3 +58,21 @@ def test_whole_items_in_containers(spark):
         half_empty = sum(2 * f <= cap for f in fill.values())
         assert half_empty <= 7  # one per shard
     assert packing.pack(items.limit(0), caps).count() == 0 and packing.pack(items, caps.limit(0)).count() == 0
+
+
+def test_fill_against_the_least_number_of_containers(spark):
+    docs = spark.createDataFrame([(i, 1 + (i * i * 7919) % 4000) for i in range(6000)], "doc_id long, n_tokens long")
+    caps = spark.createDataFrame([(1, 4096), (2, 50_000), (3, 10**9)], "capacity_id int, capacity_tokens long")
+    got = {r.capacity_id: r for r in packing.fill(packing.pack(docs, caps, shard_items=3000), caps).collect()}
+    assert got[1].used_share > 0.98 and got[2].used_share > 0.98
+    assert all(r.least_containers <= r.containers <= r.least_containers + max(2, r.least_containers // 50) for r in got.values())
+
+
+def test_any_number_of_capacities_and_copies_in_all_shards(spark):
+    docs = spark.createDataFrame([(7, 10)] * 400 + [(8, 3), (9, 2500)], "doc_id long, n_tokens long")
+    caps = spark.range(1, 1201).selectExpr("cast(id as int) capacity_id", "id + 10 capacity_tokens")
+    got = packing.pack(docs, caps, shard_items=100)
+    assert got.groupBy("capacity_id").agg({"n_tokens": "sum"}).where("`sum(n_tokens)` = 4000 + 3 + 2500").count() == 1200
+    one = got.where("capacity_id = 1 and doc_id = 7").select("container_id").collect()
+    shards = [sum(r.container_id >> 32 == s for r in one) for s in range(4)]
+    assert min(shards) > 50 and sum(shards) == 400
