@@ -61,7 +61,8 @@ def test_whole_items_in_containers(spark):
 
 
 def test_fill_against_the_least_number_of_containers(spark):
-    docs = spark.createDataFrame([(i, 1 + (i * i * 7919) % 4000) for i in range(6000)], "doc_id long, n_tokens long")
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, rnd.randint(1, 4000)) for i in range(6000)], "doc_id long, n_tokens long")
     caps = spark.createDataFrame([(1, 4096), (2, 50_000), (3, 10**9)], "capacity_id int, capacity_tokens long")
     got = {r.capacity_id: r for r in packing.fill(packing.pack(docs, caps, shard_items=3000), caps).collect()}
     assert got[1].used_share > 0.98 and got[2].used_share > 0.98
