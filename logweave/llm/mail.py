@@ -29,7 +29,6 @@ class Part(NamedTuple):
 _HEADER = re.compile(r"^(content-type|content-transfer-encoding|content-disposition)[ \t]*:[ \t]*((?:[^\n]*)(?:\n[ \t][^\n]*)*)", re.I | re.M)
 _PARAM = re.compile(r';\s*([\w*\-]+)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|([^\s;]+))', re.S)
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]+")
-MAX_DEPTH = 12
 
 
 @lru_cache(maxsize=256)
@@ -93,45 +92,44 @@ def _params(value: str) -> tuple[str, dict[str, str]]:
     return kind, {m[0].lower().rstrip("*"): (m[1] or m[2]) for m in _PARAM.findall(value)}
 
 
-def _walk(text: str, out: list[Part], group: int, depth: int, groups: list[int]) -> None:
-    head, _, body = text.partition("\n\n")
-    if head.startswith("\n"):
-        head, body = "", text[1:]
-    fields: dict[str, str] = {}
-    for name, value in _HEADER.findall(head):
-        fields.setdefault(name.lower(), value)
-    kind, params = _params(fields["content-type"]) if "content-type" in fields else ("text/plain", {})
-    disposition, named = _params(fields["content-disposition"]) if "content-disposition" in fields else ("", {})
-    if kind.startswith("multipart/") and params.get("boundary") and depth < MAX_DEPTH:
-        if kind == "multipart/alternative":
-            groups[0] += 1
-            group = groups[0]
-        mark = re.escape(params["boundary"])
-        pieces = re.split(rf"(?:^|(?<=\n))--{mark}(--)?[ \t]*(?:\n|\Z)", body)
-        for i in range(2, len(pieces), 2):
-            if pieces[i - 1]:  # what follows the end boundary is not part of the mail
-                break
-            _walk(pieces[i], out, group, depth + 1, groups)
-        return
-    if kind == "message/rfc822" and depth < MAX_DEPTH:
-        _walk(body, out, -1, depth + 1, groups)
-        return
-    if kind.startswith("text/") or "/" not in kind or kind.startswith("multipart/"):
-        shown = _body(body, fields.get("content-transfer-encoding", "").split(";")[0].strip().lower(), params.get("charset", "").strip("'\""))
-        if "\r" in shown:
-            shown = shown.replace("\r\n", "\n")
-        if kind == "text/html":
-            shown = html_text(shown)
-        out.append(Part(kind, disposition == "attachment", group, _INVISIBLE.sub("", shown) if not shown.isascii() else shown))
+def _parts(message: str) -> list[Part]:
+    """Text parts in order; parts within parts are kept on a stack of our own, so they may be nested to any depth."""
+    out: list[Part] = []
+    alternatives = -1
+    todo: list[tuple[str, int]] = [(message, -1)]
+    while todo:
+        text, group = todo.pop()
+        head, _, body = text.partition("\n\n")
+        if head.startswith("\n"):
+            head, body = "", text[1:]
+        fields: dict[str, str] = {}
+        for name, value in _HEADER.findall(head):
+            fields.setdefault(name.lower(), value)
+        kind, params = _params(fields["content-type"]) if "content-type" in fields else ("text/plain", {})
+        disposition, named = _params(fields["content-disposition"]) if "content-disposition" in fields else ("", {})
+        if kind.startswith("multipart/") and params.get("boundary"):
+            if kind == "multipart/alternative":
+                alternatives += 1
+                group = alternatives
+            mark = re.escape(params["boundary"])
+            pieces = re.split(rf"(?:^|(?<=\n))--{mark}(--)?[ \t]*(?:\n|\Z)", body)
+            ended = next((i for i in range(2, len(pieces), 2) if pieces[i - 1]), len(pieces))  # what follows the end boundary is not part of the mail
+            todo.extend((p, group) for p in reversed(pieces[2:ended:2]))
+        elif kind == "message/rfc822":
+            todo.append((body, -1))
+        elif kind.startswith("text/") or "/" not in kind or kind.startswith("multipart/"):
+            shown = _body(body, fields.get("content-transfer-encoding", "").split(";")[0].strip().lower(), params.get("charset", "").strip("'\""))
+            if "\r" in shown:
+                shown = shown.replace("\r\n", "\n")
+            if kind == "text/html":
+                shown = html_text(shown)
+            out.append(Part(kind, disposition == "attachment", group, _INVISIBLE.sub("", shown) if not shown.isascii() else shown))
+    return out
 
 
 def text_parts(message: str | None) -> list[Part]:
     """All text parts of a raw message in order (attachments included); none for a null or empty one."""
-    if not message:
-        return []
-    out: list[Part] = []
-    _walk(message.replace("\r\n", "\n"), out, -1, 0, [-1])
-    return out
+    return _parts(message.replace("\r\n", "\n")) if message else []
 
 
 def own_body(message: str | None) -> str:

@@ -25,11 +25,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items")).select("item_id", "doc_id")
 
 
+def p8_reordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of which tiles of five words or more cover half or more, in any order: passages that were cut up and rearranged."""
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"))
+    return leaks.leaked_items(docs, table(spark, folder, "eval_items"), seed=leaks.SHINGLE, min_coverage=leaks.COVERAGE)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return stuffing.stuffed_pages(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_pack, p7_fill, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p7_pack, p7_fill, p8_found, p8_reordered, p9_found)}
 
 #: None of these is given as SQL: timestamps of many forms, an order-dependent packing, MIME decoding and a trained model.
 #: They are tested against brute force instead (tests/llm).
