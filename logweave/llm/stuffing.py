@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.mail import own_body
+from logweave.session import materialised
 
 # Function words of the languages of the corpus (articles, pronouns, prepositions, conjunctions, auxiliaries).
 FUNCTION_WORDS = {
@@ -52,13 +53,23 @@ def _mark_strings(seq: np.ndarray) -> np.ndarray:
 
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _EMAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+$")
-_CORE = re.compile(r"^([^\w#$€£%+\-]*)(.*?)([^\w%€$£+]*)$", re.S)
+_LEAD = re.compile(r"[^\w#$€£%+\-]*")
+_TRAIL = re.compile(r"[^\w%€$£+]")
 _PRICE = re.compile(r"^(?:[A-Z]{3}|[$€£+\-])?\d[\d.,]*(?:%|€|\$|£|EUR|USD|GBP)?$")
 
 
-@lru_cache(maxsize=1 << 18)
-def classes_of(token: str) -> bytes:
-    """Class numbers of one blank-separated token, its punctuation included."""
+#: Words of at most so many letters count as function words of whatever language, as most of them are.
+SHORT = 2
+
+
+def _function(word: str) -> bool:
+    low = word.lower().replace("’", "'")
+    head = low.split("'")[0] if "'" in low else low
+    return low in _FUNCTION or head in _FUNCTION or ("'" in low and len(head) <= 2) or (len(low) <= SHORT and low.isalpha() and not (word.isupper() and len(word) > 1))
+
+
+def _classes(token: str) -> bytes:
+    """Class numbers of one token, its punctuation included."""
     out: list[str] = []
     if len(token) <= 4 and re.fullmatch(r"[*\-+•·–—>|#=~_]+|\d{1,3}[.)]", token):
         return bytes([_CODE["b"]])
@@ -70,8 +81,11 @@ def classes_of(token: str) -> bytes:
         if token[-1] in ",;":
             out.append(token[-1])
         return bytes(_CODE[c] for c in out)
-    lead, core, trail = _CORE.match(token).groups()
-    if lead:
+    a, z = _LEAD.match(token).end(), len(token)
+    while z > a and _TRAIL.match(token[z - 1]):
+        z -= 1
+    core, trail = token[a:z], token[z:]
+    if a:
         out.append("q")
     if core:
         if core[0] == "#" and len(core) > 1:
@@ -79,41 +93,42 @@ def classes_of(token: str) -> bytes:
         elif "@" in core and _EMAIL.fullmatch(core):
             out.append("E")
         elif any(ch.isdigit() for ch in core):
-            plain = core.replace(".", "").replace(",", "").replace(":", "").replace("/", "").replace("-", "")
+            plain = core.lstrip("+-").replace(".", "").replace(",", "").replace(":", "").replace("/", "").replace("-", "")
             out.append("d" if plain.isdigit() else "P" if _PRICE.match(core) else "K")
+        elif _function(core):
+            out.append("f")
+        elif core.isupper() and len(core) > 1:
+            out.append("A")
+        elif core[0].isupper():
+            out.append("C")
+        elif core[0].isalpha():
+            out.append("w")
         else:
-            low = core.lower().replace("’", "'")
-            head = low.split("'")[0] if "'" in low else low
-            if low in _FUNCTION or head in _FUNCTION or ("'" in low and len(head) <= 2):
-                out.append("f")
-            elif core.isupper() and len(core) > 1:
-                out.append("A")
-            elif core[0].isupper():
-                out.append("C")
-            elif core[0].isalpha():
-                out.append("w")
-            else:
-                out.append("o")
+            out.append("o")
     for ch in trail[:2]:
         out.append("." if ch in ".!?…" else ch if ch in ",:;" else "q")
     return bytes(_CODE[c] for c in out or ["o"])
 
 
+_remembered = lru_cache(maxsize=1 << 18)(_classes)
+
+
+def classes_of(token: str) -> bytes:
+    """The same; tokens that are no longer than words are remembered."""
+    return _remembered(token) if len(token) <= 64 else _classes(token)
+
+
+#: Punctuation between letters also parts tokens: keywords are often strung together without blanks.
+_INNER = re.compile(r"(?<=[^\W\d_])([,;|])(?=[^\W\d_])")
 _QUOTED = re.compile(r"^\s{0,2}[>|]")
 _ATTRIBUTION = re.compile(r":\s*$")
 _ORIGINAL = re.compile(r"^\s*(?:-{3,}\s*\w[^\n]*\w\s*-{3,}\s*$|_{8,}\s*$|(?:>\s*)?(?:From|Von|De|Expéditeur)\s*:\s)")
 _DIGEST = re.compile(r"^\s*-{3}\s*message \d+\s*-{3}\s*$", re.I)
 
 
-#: Tokens of this length are not words: they are classed by what they hold, and not remembered.
-LONG_TOKEN = 256
 _PARAGRAPH, _LINE_END = bytes([_CODE["p"]]), bytes([_CODE["n"]])
 
 
-def _long_token(token: str) -> bytes:
-    return bytes([_CODE["U" if "://" in token else "o"]])
-
-
 def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class numbers, characters that each stands for, whether it is quoted mail) of a readable body.
 
@@ -125,7 +140,7 @@ def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     spans: list[tuple[int, bool]] = []  # tokens of a line, whether it is quoted
     inside = below = False
     previous = ""
-    for line in body.split("\n"):
+    for line in _INNER.sub(r"\1 ", body).split("\n"):
         tokens = line.split()
         if not tokens:
             codes.append(_PARAGRAPH)
@@ -138,7 +153,7 @@ def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inside = False
             if not below and _ORIGINAL.match(line) and not _DIGEST.match(line):
                 below = True
-        codes.extend(map(classes_of, tokens) if len(line) < LONG_TOKEN else [classes_of(t) if len(t) < LONG_TOKEN else _long_token(t) for t in tokens])
+        codes.extend(map(_remembered if len(line) < 256 else classes_of, tokens))
         codes.append(_LINE_END)
         lengths.extend(map(len, tokens))
         lengths.append(0)
@@ -153,19 +168,20 @@ def sequence(body: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _TABLE = np.zeros((4, V), dtype=np.int64)
-for _row, _classes in enumerate(("fwCAW", "f", ".", "UH")):  # words, function words, sentence ends, links and tags
-    _TABLE[_row, [_CODE[c] for c in _classes]] = 1
+for _row, _symbols in enumerate(("fwCAW", ",;b", ".", "UHKP")):  # words, separators, sentence ends, links and tags
+    _TABLE[_row, [_CODE[c] for c in _symbols]] = 1
 
 
 def _learnable(seq: np.ndarray) -> np.ndarray | None:
     """The paragraphs without links and tags of a text that is mostly prose; None of others.
 
-    Prose are paragraphs of at least eight words and a sentence end with a
-    share of function words.
+    Prose is told by its punctuation, in any language: paragraphs of at least
+    eight words whose sentences have three to forty words, with at most one
+    separator to four words.
     """
     starts = np.unique(np.concatenate(([0], np.flatnonzero(seq == _CODE["p"]))))
-    words, function, ends, links = np.add.reduceat(_TABLE[:, seq], starts, axis=1)
-    prose = (words >= 8) & (ends >= 1) & (function >= FUNCTION_SHARE * words) & (links == 0)
+    words, separators, ends, links = np.add.reduceat(_TABLE[:, seq], starts, axis=1)
+    prose = (words >= 8) & (words >= 3 * ends) & (words <= 40 * ends) & (4 * separators <= words) & (links == 0)
     if not words.sum() or words[prose].sum() < TRAIN_SHARE * words.sum():
         return None
     return seq[np.repeat(links == 0, np.diff(np.append(starts, len(seq))))]
@@ -175,15 +191,41 @@ def _learnable(seq: np.ndarray) -> np.ndarray | None:
 TRAIN_SHARE = 0.4
 _PAD = np.zeros(2, dtype=np.int64)
 
+#: A document as the model reads it: a byte per symbol, its characters in one byte each or in eight where one is longer, a bit for quoted mail.
+SEQUENCES = "doc_id long, symbols binary, chars binary, quoted binary"
+
+
+def _packed(body: str) -> tuple[bytes, bytes, bytes]:
+    seq, chars, quoted = sequence(body)
+    small = not len(chars) or chars.max() < 256
+    return seq.astype(np.uint8).tobytes(), chars.astype(np.uint8 if small else np.int64).tobytes(), np.packbits(quoted).tobytes()
+
+
+def _unpacked(symbols: bytes, chars: bytes, quoted: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seq = np.frombuffer(symbols, dtype=np.uint8).astype(np.int64)
+    kind = np.uint8 if len(chars) == len(seq) else np.int64
+    return seq, np.frombuffer(chars, dtype=kind).astype(np.int64), np.unpackbits(np.frombuffer(quoted, dtype=np.uint8), count=len(seq)).astype(bool)
+
+
+def sequences(documents: DataFrame) -> DataFrame:
+    """Documents (doc_id, text: raw messages) decoded and classed once, as :data:`SEQUENCES`; a null text is an empty one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [_packed(own_body(t)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [x[i] for x in got] for i, c in enumerate(("symbols", "chars", "quoted"))}})
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SEQUENCES)
+
 
 def trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts of the texts of a partition that are mostly prose, as one table; paragraphs with links or tags are passed over."""
+    """Trigram counts of the sequences of a partition that are mostly prose, as one table; paragraphs with links or tags are passed over."""
     counts = np.zeros(V**3, dtype=np.int64)
     for pdf in batches:
         seqs: list[np.ndarray] = []
-        for text in pdf["text"]:
-            seq = sequence(own_body(text))[0]
-            kept = _learnable(seq)
+        for symbols in pdf["symbols"]:
+            seq = np.frombuffer(symbols, dtype=np.uint8).astype(np.int64)
+            kept = _learnable(seq) if len(seq) else None
             if kept is not None:
                 seqs.extend((_PAD, kept))
         if seqs:
@@ -215,16 +257,19 @@ class ProseModel:
 #: Tokens of the neighbourhoods over which a perplexity is taken: wide for strings of words, narrow for lists of long links.
 WINDOWS = (24, 8)
 #: Standard errors from the mean of prose beyond which a neighbourhood is abnormally high, or abnormally low.
-HIGH, LOW = 2.5, 2.5
-#: Share of function words among the words of a neighbourhood from which it is read as sentences, whatever links stand between them.
-FUNCTION_SHARE = 0.2
+HIGH, LOW = 3.5, 2.5
+#: Share of function words among the words of a neighbourhood from which it is read as sentences, however odd its order (links, lists and names stand between them).
+FUNCTION_SHARE = 0.12
 #: Share of the characters above which a document is one of these pages.
 SHARE = 0.5
 
 
 def stuffed_share(model: ProseModel, body: str, windows: tuple[int, ...] = WINDOWS, high: float = HIGH, low: float = LOW) -> tuple[float, float]:
     """(share of non-blank characters outside sentences, perplexity of the whole) of a body; (0, 0) of an empty one."""
-    seq, chars, quoted = sequence(body)
+    return _scores(model, *sequence(body), windows, high, low)
+
+
+def _scores(model: ProseModel, seq: np.ndarray, chars: np.ndarray, quoted: np.ndarray, windows: tuple[int, ...] = WINDOWS, high: float = HIGH, low: float = LOW) -> tuple[float, float]:
     total = int(chars.sum())
     if not total:
         return 0.0, 0.0
@@ -247,22 +292,29 @@ def stuffed_share(model: ProseModel, body: str, windows: tuple[int, ...] = WINDO
     return float(chars_own[odd].sum() / total), float(2 ** (cost_own.mean()))
 
 
-def train(documents: DataFrame) -> ProseModel:
-    """The model of all documents: at most ``len(CLASSES) ** 3`` counts reach the driver."""
-    counts = documents.where("text is not null").select("text").mapInPandas(trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+def train(read: DataFrame) -> ProseModel:
+    """The model of all documents, given as sequences: at most ``len(CLASSES) ** 3`` counts reach the driver."""
+    counts = read.select("symbols").mapInPandas(trigrams, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
     return ProseModel({r.trigram: r.n for r in counts.toLocalIterator()})
 
 
 def stuffing_scores(documents: DataFrame, model: ProseModel | None = None) -> DataFrame:
-    """(doc_id, stuffed_share, perplexity) of each document (doc_id, text: raw messages); null and empty texts score 0."""
-    model = model or train(documents)
+    """(doc_id, stuffed_share, perplexity) of each document (doc_id, text: raw messages); null and empty texts score 0, rows without doc_id only train.
+
+    The sequences are written once to the shared checkpoint folder: training
+    and scoring read them from there, so no text is decoded twice.
+    """
+    read = sequences(documents)
+    if model is None:
+        read = materialised(read)
+        model = train(read)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [stuffed_share(model, own_body(t)) for t in pdf["text"]]
+            got = [_scores(model, *_unpacked(*x)) for x in zip(pdf["symbols"], pdf["chars"], pdf["quoted"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "stuffed_share": [x for x, _ in got], "perplexity": [y for _, y in got]})
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, stuffed_share double, perplexity double")
+    return read.where("doc_id is not null").mapInPandas(run, "doc_id long, stuffed_share double, perplexity double")
 
 
 def stuffed_pages(documents: DataFrame, share: float = SHARE) -> DataFrame:

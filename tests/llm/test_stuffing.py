@@ -58,5 +58,31 @@ def test_held_out_accuracy(spark):
 
 def test_model_is_bounded_and_repeatable(spark):
     df = spark.createDataFrame([(d, message(t)) for d, t, _ in corpus()], "doc_id long, text string")
-    a, b = stuffing.train(df.repartition(1)), stuffing.train(df.repartition(7))
+    a, b = (stuffing.train(stuffing.sequences(df.repartition(n))) for n in (1, 7))
     assert (a.cost == b.cost).all() and len(a.cost) == stuffing.V**3
+
+
+ITALIAN = "Il responsabile del magazzino ha controllato le fatture della settimana e non ha trovato errori. La riunione è stata spostata a venerdì perché il fornitore non può venire prima. Vi prego di leggere il verbale e di rispondere entro domani con le vostre domande sul contratto."
+POLISH = "Kierownik magazynu sprawdził faktury z zeszłego tygodnia i nie znalazł w nich żadnych błędów. Spotkanie zostało przeniesione na piątek, ponieważ dostawca nie może przyjechać wcześniej. Proszę o przeczytanie protokołu i o odpowiedź do jutra, jeśli macie pytania do umowy."
+
+
+def test_other_languages_and_strings_without_blanks(spark):
+    """Languages that the corpus does not hold; keywords with nothing but commas between them; tokens and links of any length."""
+    rnd = random.Random(8)
+    words = [rnd.choice(["cheap", "tent", "best", "sofa", "sale", "lamp", "jacket"]) for _ in range(300)]
+    rows = corpus() + [(600, ITALIAN, False), (601, POLISH, False), (602, ",".join(words), True), (603, "|".join(words), True), (604, "\n".join(f"https://a.example/{'x' * n}" for n in range(200, 400, 9)), True)]
+    df = spark.createDataFrame([(d, message(t)) for d, t, _ in rows], "doc_id long, text string")
+    assert {r.doc_id for r in stuffing.stuffed_pages(df).collect()} == {d for d, _, bad in rows if bad}
+
+
+def test_long_tokens_have_the_classes_of_short_ones():
+    for t in ("tent", "https://a.example/x", "#tag", "SKU", "a@b.example,"):
+        body, tail = (t[:-1], ",") if t.endswith(",") else (t, "")
+        long = body[0] + body[1:2] * 500 + body[1:] if body[0].isalpha() and "://" not in body and "@" not in body else body + "x" * 500
+        assert stuffing.classes_of(long + tail) == stuffing.classes_of(t)
+
+
+def test_packed_sequences():
+    for body in ("", "a", "word " * 50, "x" * 3000 + " y\n> quoted:\n> z\n\nend."):
+        for a, b in zip(stuffing.sequence(body), stuffing._unpacked(*stuffing._packed(body))):
+            assert (a == b).all()
