@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = (0.5, 0.95, 0.99)
@@ -37,26 +37,25 @@ def baseline(run_templates: DataFrame, runs: DataFrame, min_green_runs: int = 3)
     key = ["service_name", "scenario", "template_id"]
     seen = run_templates.drop("service_name").join(green, "run_id").withColumnRenamed("_service", "service_name").join(cohort, ["service_name", "scenario"])
     per = seen.groupBy(*key, "n_runs", F.col("event_count").alias("x")).agg(F.count(F.lit(1)).alias("f"), F.max_by(F.struct("normalized_template", "severity_text", "issue_kind"), F.struct("created_at", "run_id")).alias("s"), F.max(F.struct("created_at", "run_id")).alias("at"))
-    # the zero row of each template is added inside its group: from the frequencies of the counts that were seen
-    g = per.groupBy(*key, "n_runs").agg(F.collect_list(F.struct("x", "f")).alias("seen"), F.sum("f").alias("present"), F.sum(F.col("x") * F.col("f")).alias("s1"), F.sum(F.col("x") * F.col("x") * F.col("f")).alias("s2"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max_by("s", "at").alias("s"))
-    n, zeros = F.col("n_runs"), F.col("n_runs") - F.col("present")
-    ranked = F.array_sort(F.concat("seen", F.when(zeros > 0, F.array(F.struct(F.lit(0).cast("long").alias("x"), zeros.alias("f")))).otherwise(F.array().cast("array<struct<x:bigint,f:bigint>>"))))
-    steps = F.aggregate(ranked, F.array().cast("array<struct<x:bigint,upto:bigint>>"), lambda acc, r: F.concat(acc, F.array(F.struct(r["x"].alias("x"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["upto"], F.lit(0)) + r["f"]).alias("upto")))))
-    g = g.withColumn("_steps", steps)
-
-    def at(position):
-        """The count at a place (from 0) of the sorted, padded counts."""
-        return F.filter("_steps", lambda r: r["upto"] > position)[0]["x"]
-
-    def percentile(q: float):
-        pos = F.lit(q) * (n - 1)
-        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
-        return lo + (hi - lo) * (pos - F.floor(pos))
-
-    mean = F.col("s1") / n
-    var = F.when(n > 1, F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / n, F.lit(0.0)) / (n - 1)).otherwise(0.0)
-    cols = [percentile(q).alias(f"p{int(q * 100)}_count") for q in PERCENTILES]
-    return g.select(*key, "s.*", mean.alias("mean_count"), F.sqrt(var).alias("std_count"), *cols, F.when(zeros > 0, 0).otherwise(F.col("lo")).alias("min_count"), F.col("hi").alias("max_count"), n.alias("runs_in_baseline"))
+    # a row per different count of a template: places are sums of frequencies behind the zeros, moments are doubles around the mean
+    whole = Window.partitionBy(*key)
+    n, x, f = F.col("n_runs"), F.col("x").cast("double"), F.col("f").cast("double")
+    per = per.withColumn("zeros", n - F.sum("f").over(whole)).withColumn("mean", F.sum(x * f).over(whole) / n).withColumn("upto", F.col("zeros") + F.sum("f").over(whole.orderBy("x")))
+
+    def place(q: float, step) -> Column:
+        """The count at the place below or above a quantile of the sorted, padded counts."""
+        at = step(F.lit(q) * (n - 1))
+        return F.when(F.first(at) >= F.first("zeros"), F.min(F.when(F.col("upto") > at, F.col("x")))).otherwise(0)
+
+    g = per.groupBy(*key, "n_runs").agg(
+        F.first("zeros").alias("zeros"), F.first("mean").alias("mean"), F.sum(f * (x - F.col("mean")) * (x - F.col("mean"))).alias("m2"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max_by("s", "at").alias("s"),
+        *[place(q, step).alias(f"_{name}{i}") for i, q in enumerate(PERCENTILES) for name, step in (("floor", F.floor), ("ceil", F.ceil))],
+    )
+    pos = [F.lit(q) * (n - 1) for q in PERCENTILES]
+    cols = [(F.col(f"_floor{i}") + (F.col(f"_ceil{i}") - F.col(f"_floor{i}")) * (p - F.floor(p))).alias(f"p{int(q * 100)}_count") for i, (q, p) in enumerate(zip(PERCENTILES, pos))]
+    m2 = F.col("m2") + F.col("zeros") * F.col("mean") * F.col("mean")
+    std = F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(0.0)
+    return g.select(*key, "s.*", F.col("mean").alias("mean_count"), std.alias("std_count"), *cols, F.when(F.col("zeros") > 0, 0).otherwise(F.col("lo")).alias("min_count"), F.col("hi").alias("max_count"), n.alias("runs_in_baseline"))
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

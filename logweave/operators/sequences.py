@@ -1,7 +1,8 @@
 """Ordered-sequence operators over log events: restarts, outages, bursts, rates, first errors, replay.
 
-Windows run over marked rows only (restarts, outage markers); the other events
-meet them by a join on small per-file lists, so no file is one group.
+Orders within a file or service are cut into chunks: windows run inside a
+chunk, and one row per chunk carries what the chunks before leave (the last
+value, a count), so no file, service or dependency is one group.
 """
 
 from __future__ import annotations
@@ -27,7 +28,40 @@ UP = {
 BOOT_GAP_US = 30_000_000
 
 
-def boots(events: DataFrame, by: Sequence[str], order: str, ts_us: str = "ts_us", body: str = "body", gap_us: int = BOOT_GAP_US) -> DataFrame:
+#: Length of a chunk in the unit of the order (lines or bytes).
+CHUNK = 1 << 16
+
+
+def _chunked(df: DataFrame, by: Sequence[str], order: str, chunk: int) -> DataFrame:
+    """Add ``_g``, the group as one value that is never null, and ``_chunk`` of the order (-1 for a null)."""
+    return df.withColumn("_g", F.struct(*[F.col(c) for c in by])).withColumn("_chunk", F.coalesce(F.expr(f"`{order}` div {int(chunk)}"), F.lit(-1).cast("long")))
+
+
+def _inside(order: str) -> Window:
+    return Window.partitionBy("_g", "_chunk").orderBy(order)
+
+
+def _earlier() -> Window:
+    return Window.partitionBy("_g").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _last_before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Add the last value that is not null of the rows before in the group (chunked rows)."""
+    ends = df.groupBy("_g", "_chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    carried = ends.select("_g", "_chunk", F.last("_end", ignorenulls=True).over(_earlier()).alias("_carried"))
+    near = F.last(value, ignorenulls=True).over(_inside(order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("_near", near).join(carried, ["_g", "_chunk"]).withColumn(out, F.coalesce("_near", "_carried")).drop("_near", "_carried")
+
+
+def _running_count(df: DataFrame, order: str, flag: str, out: str) -> DataFrame:
+    """Add the number of rows with the flag up to each row of the group (chunked rows)."""
+    counts = df.groupBy("_g", "_chunk").agg(F.count_if(flag).alias("_n"))
+    carried = counts.select("_g", "_chunk", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_carried"))
+    near = F.count_if(flag).over(_inside(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_near", near).join(carried, ["_g", "_chunk"]).withColumn(out, (F.col("_near") + F.col("_carried")).cast("long")).drop("_near", "_carried")
+
+
+def boots(events: DataFrame, by: Sequence[str], order: str, ts_us: str = "ts_us", body: str = "body", gap_us: int = BOOT_GAP_US, chunk: int = CHUNK) -> DataFrame:
     """Confirmed restarts: by.., seq (from 1), boot_order, started_us.
 
     Markers in file order; one begins a restart unless its time is known and at
@@ -35,26 +69,27 @@ def boots(events: DataFrame, by: Sequence[str], order: str, ts_us: str = "ts_us"
     too; a time before it coalesces as well).
     """
     marks = events.where(F.col(body).rlike(BOOT)).select(*by, F.col(order).alias("boot_order"), F.col(ts_us).alias("_us"))
-    w = Window.partitionBy(*by).orderBy("boot_order")
-    last = F.last("_us", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = last.isNull() | F.col("_us").isNull() | (F.col("_us") - last > gap_us)
-    return marks.withColumn("_new", new).where("_new").withColumn("seq", F.row_number().over(w).cast("long")).select(*by, "seq", "boot_order", F.col("_us").alias("started_us"))
+    marks = _last_before(_chunked(marks, by, "boot_order", chunk).repartition("_g", "_chunk"), "boot_order", "_us", "_last")
+    new = F.col("_last").isNull() | F.col("_us").isNull() | (F.col("_us") - F.col("_last") > gap_us)
+    return _running_count(marks.where(new).withColumn("_new", F.lit(True)), "boot_order", "_new", "seq").select(*by, "seq", "boot_order", F.col("_us").alias("started_us"))
 
 
-def with_instances(events: DataFrame, boot: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def with_instances(events: DataFrame, boot: DataFrame, by: Sequence[str], order: str, chunk: int = CHUNK) -> DataFrame:
     """Add service_instance_seq (0 before the first restart) and service_instance_started_us.
 
-    Each file's restarts are one sorted list that is joined to its events: no
-    window over the events.
+    Per chunk of a file that has events: the restarts inside it, and the last
+    one before it. An event meets the one whose stretch of the chunk it is in.
     """
-    lists = boot.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("boot_order", "seq", "started_us"))).alias("_boots"))
-    j = lists.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], "_boots")
-    on = F.lit(True)
-    for i, c in enumerate(by):
-        on = on & (F.col(c) == F.col(f"_b{i}"))
-    df = events.join(j, on, "left").withColumn("_past", F.filter(F.coalesce("_boots", F.array().cast("array<struct<boot_order:bigint,seq:bigint,started_us:bigint>>")), lambda b: b["boot_order"] <= F.col(order)))
-    last = F.try_element_at("_past", F.lit(-1))
-    return df.withColumn("service_instance_seq", F.size("_past").cast("long")).withColumn("service_instance_started_us", last["started_us"]).drop("_past", "_boots", *[f"_b{i}" for i in range(len(by))])
+    rows = _chunked(events, by, order, chunk)
+    starts = _chunked(boot.select(*by, "boot_order", "seq", "started_us"), by, "boot_order", chunk).select("_g", "_chunk", F.struct("boot_order", "seq", "started_us").alias("_b"))
+    none = F.lit(None).cast(starts.schema["_b"].dataType)
+    ends = starts.groupBy("_g", "_chunk").agg(F.max("_b").alias("_b")).unionByName(rows.select("_g", "_chunk").distinct().withColumn("_b", none)).groupBy("_g", "_chunk").agg(F.max("_b").alias("_b"))
+    carried = ends.select("_g", "_chunk", F.last("_b", ignorenulls=True).over(_earlier()).alias("_b")).where("_b is not null")
+    stretch = carried.unionByName(starts).select("_g", "_chunk", F.col("_b.boot_order").alias("_from"), F.col("_b.seq").alias("_seq"), F.col("_b.started_us").alias("_started"))
+    stretch = stretch.withColumn("_to", F.lead("_from").over(_inside("_from"))).withColumnsRenamed({"_g": "_bg", "_chunk": "_bc"})
+    on = (F.col("_g") == F.col("_bg")) & (F.col("_chunk") == F.col("_bc")) & (F.col(order) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(order) < F.col("_to")))
+    joined = rows.join(stretch, on, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in events.columns if c not in ("service_instance_seq", "service_instance_started_us")], F.coalesce("_seq", F.lit(0).cast("long")).alias("service_instance_seq"), F.col("_started").alias("service_instance_started_us"))
 
 
 def keep_instances(annotated: DataFrame, boot: DataFrame, by: Sequence[str], spec: str | int) -> DataFrame:
@@ -85,18 +120,18 @@ def connectivity_marks(events: DataFrame, keep: Sequence[str], body: str = "body
     return events.select(*keep, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("m")).select(*keep, "m.*")
 
 
-def connectivity_incidents(marks: DataFrame, by: Sequence[str], order: str, ts_us: str = "ts_us") -> DataFrame:
+def connectivity_incidents(marks: DataFrame, by: Sequence[str], order: str, ts_us: str = "ts_us", chunk: int = CHUNK) -> DataFrame:
     """Outages per group and dependency in file order: no, down_us, up_us (null while open), duration_s, down_events.
 
     An outage begins with a down marker after anything else than down, and ends
     with the next up marker.
     """
     g = [*by, "dependency"]
-    w = Window.partitionBy(*g).orderBy(order)
-    begin = (F.col("kind") == "down") & (F.coalesce(F.lag("kind").over(w), F.lit("up")) != "down")
-    islands = marks.withColumn("_b", begin.cast("long")).withColumn("no", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("no > 0")
+    rows = _chunked(marks.select(*g, order, ts_us, "kind"), g, order, chunk).repartition("_g", "_chunk")
+    begins = (F.col("kind") == "down") & (F.coalesce("_prior", F.lit("up")) != "down")
+    rows = _running_count(_last_before(rows, order, "kind", "_prior").withColumn("_begins", begins), order, "_begins", "no").where("no > 0")
     first = lambda kind: F.min_by(ts_us, F.when(F.col("kind") == kind, F.col(order)))
-    out = islands.groupBy(*g, "no").agg(first("down").alias("down_us"), first("up").alias("up_us"), F.count_if(F.col("kind") == "down").alias("down_events"))
+    out = rows.groupBy(*g, "no").agg(first("down").alias("down_us"), first("up").alias("up_us"), F.count_if(F.col("kind") == "down").alias("down_events"))
     return out.withColumn("duration_s", F.greatest((F.col("up_us") - F.col("down_us")) / 1e6, F.lit(0.0)))
 
 

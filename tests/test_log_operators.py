@@ -41,15 +41,16 @@ def boots_of(marks):
     return out
 
 
-def test_restarts(spark):
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_restarts(spark, chunk):
     rnd = random.Random(3)
     marks = [(i, rnd.choice([None, rnd.randrange(0, 200) * 1_000_000])) for i in range(0, 60, 3)]
     rows = [("a", i, dict(marks).get(i), "Booting worker with pid: 1" if i % 3 == 0 else "work") for i in range(60)] + [("b", 1, 1, "work")]
     ev = spark.createDataFrame(rows, "source string, offset long, ts_us long, body string")
-    boot = sequences.boots(ev, ["source"], "offset")
+    boot = sequences.boots(ev, ["source"], "offset", chunk=chunk)
     want = boots_of(marks)
     assert [(r.boot_order, r.started_us) for r in boot.orderBy("seq").collect()] == want
-    ann = sequences.with_instances(ev, boot, ["source"], "offset")
+    ann = sequences.with_instances(ev, boot, ["source"], "offset", chunk)
     assert {(r.source, r.offset): r.service_instance_seq for r in ann.collect()} == {(s, o): (sum(p <= o for p, _ in want) if s == "a" else 0) for s, o, _, _ in rows}
     assert sequences.keep_instances(ann, boot, ["source"], "last").where("source = 'a'").agg(F.min("offset")).first()[0] == want[-1][0]
     assert sequences.keep_instances(ann, boot, ["source"], "all").count() == len(rows)
@@ -58,11 +59,12 @@ def test_restarts(spark):
         sequences.keep_instances(ann, boot, ["source"], "some")
 
 
-def test_outages(spark):
+@pytest.mark.parametrize("chunk", [1, 2, 1 << 16])
+def test_outages(spark, chunk):
     msgs = ["joined group", "x", "_ALL_BROKERS_DOWN", "_TRANSPORT failed", "rejoined group g", "AutoReconnect", "brokers are down"]
     ev = spark.createDataFrame([("s", i, i * 1_000_000, m) for i, m in enumerate(msgs)], "source string, offset long, ts_us long, body string")
     marks = sequences.connectivity_marks(ev, ["source", "offset", "ts_us"])
-    got = {tuple(r) for r in sequences.connectivity_incidents(marks, ["source"], "offset").select("dependency", "down_us", "up_us", "down_events", "duration_s").collect()}
+    got = {tuple(r) for r in sequences.connectivity_incidents(marks, ["source"], "offset", chunk=chunk).select("dependency", "down_us", "up_us", "down_events", "duration_s").collect()}
     assert got == {("kafka", 2_000_000, 4_000_000, 2, 2.0), ("kafka", 6_000_000, None, 1, 0.0), ("mongo", 5_000_000, None, 1, 0.0)}
     assert {(r.dependency, r.state) for r in sequences.connectivity_state(marks, ["source"], "offset").collect()} == {("kafka", "down"), ("mongo", "down")}
 
@@ -189,3 +191,20 @@ def test_lineage_and_editor(spark):
     o = spark.createDataFrame([("s", "x", "o1", "banned"), ("s", "x", "b1", "pinned")], "service_name string, scenario string, template_id string, decision string")
     rows = {r.template_id: (r.severity_text, r.observed_count, r.mean_count, r.decision) for r in diff.editor_universe(seen, base.where("service_name = 's'"), o).collect()}
     assert rows == {"b1": ("ERROR", 4, 1.0, "pinned"), "b2": ("INFO", None, 1.0, None), "o1": (None, None, None, "banned")}
+
+
+def test_baseline_of_large_counts(spark):
+    runs = spark.createDataFrame([(f"r{i}", "s", "x", f"2025-01-0{i}", "green") for i in range(1, 5)], "run_id string, service_name string, scenario string, created_at string, status string")
+    counts = [4_000_000_000, 4_000_000_000, 4_000_000_004, 9_000_000_000_000_000_000]
+    rows = [(f"r{i + 1}", "t", c) for i, c in enumerate(counts[:3])] + [(f"r{i}", "u", counts[3]) for i in (1, 2)]
+    rt = spark.createDataFrame([(a, b, c, "s", "INFO", "n", "code") for a, b, c in rows], "run_id string, template_id string, event_count long, service_name string, severity_text string, normalized_template string, issue_kind string")
+    got = {r.template_id: r for r in registry.baseline(rt, runs, 3).collect()}
+    import statistics
+
+    for tid, padded in (("t", [0, *counts[:3]]), ("u", [0, 0, counts[3], counts[3]])):
+        assert got[tid].mean_count == pytest.approx(statistics.mean(padded)) and got[tid].std_count == pytest.approx(statistics.stdev(padded))
+        assert (got[tid].min_count, got[tid].max_count) == (0, padded[-1])
+    assert got["t"].p50_count == 4_000_000_000
+    # around a large mean: the spread is kept
+    only = spark.createDataFrame([(f"r{i}", "t", 4_000_000_000 + i, "s", "INFO", "n", "code") for i in range(1, 5)], rt.schema)
+    assert registry.baseline(only, runs, 3).first().std_count == pytest.approx(1.2909944487358056)
