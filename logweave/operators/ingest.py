@@ -11,7 +11,7 @@ from logweave import schemas
 from logweave.functions import ids, text
 from logweave.functions.layouts import parse_json
 from logweave.operators import templates
-from logweave.operators.log_entries import assemble, by_pattern
+from logweave.operators.log_entries import CHUNK_LINES, assemble, by_pattern
 from logweave.sources.files import align
 
 LEVELS = "TRACE|DEBUG|INFO|WARNING|WARN|ERROR|CRITICAL|FATAL"
@@ -56,15 +56,26 @@ def _json_field(keys: tuple) -> Column:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """(source, record_pos, line_count, raw) of physical lines (source, line_no, line): colour codes left out, continuations attached."""
-    return assemble(lines, clean=lambda c: text.strip_ansi(F.coalesce(F.col(c), F.lit(""))), layouts=by_pattern(BEGINS)).drop("layout").withColumnRenamed("text", "raw")
+    """(source, record_pos, line_count, raw) of physical lines (source, line_no, line): colour codes left out, continuations attached.
+
+    With a column ``offset``, the byte at which each line begins, record_pos is
+    the byte of the record; without it the number of its first line.
+    """
+    bytes_ = "offset" in lines.columns
+    rows = lines.select("source", (F.col("offset") + 1 if bytes_ else F.col("line_no")).alias("line_no"), "line")
+    out = assemble(rows, CHUNK_BYTES if bytes_ else CHUNK_LINES, clean=lambda c: text.strip_ansi(F.coalesce(F.col(c), F.lit(""))), layouts=by_pattern(BEGINS)).drop("layout").withColumnRenamed("text", "raw")
+    return out.withColumn("record_pos", F.col("record_pos") - 1) if bytes_ else out
+
+
+#: Bytes per chunk of a file where lines are placed by their bytes.
+CHUNK_BYTES = 1 << 19
 
 
 def decode(recs: DataFrame, service: str, run_id: str, observed_at: str, include_raw: bool = False, strict: bool = False) -> DataFrame:
     """Events of records: JSON, else tab-separated text, else generic text, else the whole as message.
 
     Text that begins like JSON but is none is ``degraded``.  ``offset`` is the
-    number of the record's first line.  strict: generic text of several lines
+    record's place (see ``records``).  strict: generic text of several lines
     is whole message, as an older reader had it.
     """
     df = recs.withColumn("_json", is_json_object("raw")).withColumn("_tabs", F.split("raw", "\t", 5))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Messages of a service start.
 BOOT = r"(?i)\b(?:Starting gunicorn|Starting Granian|Granian server starting|Booting worker with pid|Application startup complete)\b"
+# Those of them that come first.
+BOOT_HEAD = r"(?i)\b(?:Starting gunicorn|Starting Granian|Granian server starting)\b"
 # Messages that show a dependency down, and up again; all ignore case.
 DOWN = {
     "kafka": r"(?i)\b_ALL_BROKERS_DOWN\b|\b_TRANSPORT\b|\bbrokers?\s+are\s+down\b|kafka:[^\"']*?Connect\s+to\s+\S+\s+failed|\bbroker\s+transport\s+failure\b|\bGroupCoordinator\b[^\"]*?\bfailed\b",

@@ -18,6 +18,19 @@ def filled(c: str) -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
 
+def partial_templates(events: DataFrame, static: Sequence[str] = STATIC) -> DataFrame:
+    """Aggregates of templates that can be merged with those of other events: counts, time texts, the first event by (source, offset), the worst status."""
+    seen = F.coalesce(filled("timestamp"), filled("observed_timestamp"))
+    worst = F.max(F.coalesce(F.array_position(F.array(*map(F.lit, _STATUS)), F.col("parse_status")), F.lit(0)))
+    first = F.min(F.struct("source", "offset", "event_id", *static))
+    return events.where("template_id is not null").groupBy("template_id").agg(F.count(F.lit(1)).alias("event_count"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), first.alias("f"), worst.alias("w"))
+
+
+def merge_templates(partials: DataFrame) -> DataFrame:
+    """Partial aggregates of the same templates as one."""
+    return partials.groupBy("template_id").agg(F.sum("event_count").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("f").alias("f"), F.max("w").alias("w"))
+
+
 def aggregate_templates(events: DataFrame, static: Sequence[str] = STATIC) -> DataFrame:
     """One row per template: event_count, first and last time text, the static columns and the id of its first event in file order, the worst parse status.
 
@@ -25,13 +38,13 @@ def aggregate_templates(events: DataFrame, static: Sequence[str] = STATIC) -> Da
     without template are left out.  Combined on the map side, so a template
     with a third of all events is no hot task.
     """
-    at = F.struct("source", "offset")
-    seen = F.coalesce(filled("timestamp"), filled("observed_timestamp"))
-    worst = F.max(F.coalesce(F.array_position(F.array(*map(F.lit, _STATUS)), F.col("parse_status")), F.lit(0)))
-    g = events.where("template_id is not null").groupBy("template_id")
-    out = g.agg(F.count(F.lit(1)).alias("event_count"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.min_by(F.struct("event_id", *static), at).alias("f"), worst.alias("w"))
+    return finished_templates(partial_templates(events, static), static)
+
+
+def finished_templates(partials: DataFrame, static: Sequence[str] = STATIC) -> DataFrame:
+    """Templates of merged partial aggregates."""
     status = F.coalesce(F.try_element_at(F.array(*map(F.lit, _STATUS)), F.when(F.col("w") > 0, F.col("w").cast("int"))), F.lit("ok"))
-    return out.select("template_id", "event_count", "first_seen", "last_seen", F.col("f.event_id").alias("example_event_id"), *[F.col(f"f.{c}").alias(c) for c in static], status.alias("parse_status"))
+    return partials.select("template_id", "event_count", "first_seen", "last_seen", F.col("f.event_id").alias("example_event_id"), *[F.col(f"f.{c}").alias(c) for c in static], status.alias("parse_status"))
 
 
 def top_templates(templates: DataFrame, n: int = 20) -> DataFrame:

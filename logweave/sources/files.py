@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from logweave.session import ship
 
-#: Files up to this size are read whole; larger ones are split.
-WHOLE_FILE_BYTES = 64 << 20
-
-
 def resolve_inputs(patterns: Sequence[str]) -> list[str]:
     """Files of globs, folders (all files below), plain paths and ``*.inputs.json`` lists; each once, sorted."""
     found: set[str] = set()
@@ -36,40 +32,78 @@ def resolve_inputs(patterns: Sequence[str]) -> list[str]:
     return sorted(found)
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """(source, line_no, line) of text files; line_no from 1 in file order, carriage returns at line ends left out.
-
-    Small files are read whole.  Large ones are split; each split's lines are
-    numbered where they are read, and the number of lines in the splits before
-    it (one row per split) is added, so no text is moved to number it.
+def _number(batches):
+    """Number of each line, and its byte, within the split it is read from."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    key, lines, size = None, 0, 0
+    for b in batches:
+        at, path, n = b.column("_at"), b.column("source"), b.num_rows
+        if not n:
+            continue
+        new = pc.or_(pc.not_equal(at.slice(1), at.slice(0, n - 1)), pc.not_equal(path.slice(1), path.slice(0, n - 1)))
+        cuts = [0, *(pc.indices_nonzero(new).to_numpy() + 1).tolist(), n]
+        for a, z in zip(cuts, cuts[1:]):
+            here = (path[a].as_py(), at[a].as_py())
+            if here != key:
+                key, lines, size = here, 0, 0
+            some = b.slice(a, z - a)
+            sizes = pc.add(pc.cast(pc.binary_length(some.column("value")), pa.int64()), 1)
+            ends = pc.add(pc.cumulative_sum(sizes), size)
+            numbers = pa.array(range(lines + 1, lines + z - a + 1), pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("source"), some.column("_at"), numbers, pc.subtract(ends, sizes), ends, some.column("value")], names=["source", "_at", "_no", "_from", "_end", "value"])
+            lines, size = lines + z - a, ends[-1].as_py()
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(source, line_no, offset, line) of text files: line_no from 1 in file order, the byte at which the line begins.
+
+    Lines end at line feeds, whatever the size of a file and wherever it is
+    split; a carriage return before one is left out.  Each split's lines are
+    numbered where they are read, and the lines and bytes in the splits before
+    it (one row per split) are added, so no text is moved to number it.
     """
     ship(spark)
-    size = lambda p: os.path.getsize(p) if os.path.exists(p) else whole_file_bytes + 1
-    small, large = [p for p in paths if size(p) <= whole_file_bytes], [p for p in paths if size(p) > whole_file_bytes]
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    parts = []
-    if small:
-        whole = spark.read.text(small, wholetext=True).select(name.alias("source"), F.regexp_replace("value", r"\n\z", "").alias("_t")).where("_t <> ''")
-        lines = whole.select("source", F.posexplode(F.split("_t", "\n")).alias("_n", "line"))
-        parts.append(lines.select("source", (F.col("_n") + 1).cast("long").alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line")))
-    if large:
-        raw = spark.read.text(large).select(name.alias("source"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r\z", "").alias("line"))
-        splits = raw.groupBy("source", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-        before = F.expr("coalesce(sum(_n) over (partition by source order by _at rows between unbounded preceding and 1 preceding), 0)")
-        parts.append(raw.join(splits.withColumn("_before", before), ["source", "_at"]).select("source", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def byte_offsets(lines: DataFrame, chunk_lines: int = 4096) -> DataFrame:
-    """Add ``offset``, the bytes of the lines before (with their line feeds): summed inside chunks, then over chunks."""
-    n = F.octet_length(F.coalesce("line", F.lit(""))) + 1
-    rows = lines.withColumn("_chunk", F.expr(f"(line_no - 1) div {int(chunk_lines)}"))
-    totals = rows.groupBy("source", "_chunk").agg(F.sum(n).alias("_n")).selectExpr("source", "_chunk", "coalesce(sum(_n) over (partition by source order by _chunk rows between unbounded preceding and 1 preceding), 0) as _before")
-    inside = F.expr("coalesce(sum(octet_length(coalesce(line, '')) + 1) over (partition by source, _chunk order by line_no rows between unbounded preceding and 1 preceding), 0)")
-    return rows.withColumn("_in", inside).join(totals, ["source", "_chunk"]).withColumn("offset", (F.col("_before") + F.col("_in")).cast("long")).drop("_chunk", "_in", "_before")
+    raw = spark.read.text(list(paths), lineSep="\n").select(name.alias("source"), F.col("_metadata.file_block_start").alias("_at"), "value")
+    numbered = raw.mapInArrow(_number, "source string, _at long, _no long, _from long, _end long, value string")
+    splits = numbered.groupBy("source", "_at").agg(F.max("_no").alias("_n"), F.max("_end").alias("_b"))
+    before = lambda c: F.expr(f"coalesce(sum({c}) over (partition by source order by _at rows between unbounded preceding and 1 preceding), 0)")
+    splits = splits.select("source", "_at", before("_n").alias("_lines"), before("_b").alias("_bytes"))
+    return numbered.join(splits, ["source", "_at"]).select("source", (F.col("_lines") + F.col("_no")).alias("line_no"), (F.col("_bytes") + F.col("_from")).alias("offset"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+
+
+def read_range(spark: SparkSession, path: str, start: int = 0) -> tuple[DataFrame, int]:
+    """((source, offset, line), new offset): whole lines of a local file from a byte offset on.
+
+    An offset inside a line goes on to the next one; the last line counts only
+    if it has its line feed, and the new offset is behind it.  The bytes are
+    read by the executors in blocks.
+    """
+    from logweave.streaming.growing import BLOCK, last_line_feed
+
+    ship(spark)
+    end = last_line_feed(path)
+    cuts = list(range(start, end, BLOCK)) + [end] if end > start else []
+    blocks = spark.createDataFrame([(path, a, z, start) for a, z in zip(cuts, cuts[1:])], "source string, a long, z long, start long")
+
+    def lines(rows):
+        import pandas as pd
+
+        for pdf in rows:
+            for p, a, z, first in pdf.itertuples(index=False, name=None):
+                with open(p, "rb") as f:
+                    f.seek(max(0, a - 1))
+                    if a and f.read(1) != b"\n":
+                        f.readline()  # the line that the block before ends in
+                    at, out = f.tell(), []
+                    while at < z and (b := f.readline()):
+                        out.append((p, at, b.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")))
+                        at += len(b)
+                yield pd.DataFrame(out, columns=["source", "offset", "line"])
+
+    return blocks.mapInPandas(lines, "source string, offset long, line string"), max(start, end)
 
 
 def read_run_documents(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -110,6 +144,11 @@ def dataset(events: DataFrame, templates: DataFrame, include_body: bool = False)
     return j.select(*DATASET, F.coalesce("_c", "classification").alias("classification"), *(["body"] if include_body else []))
 
 
+def split_by_service(df: DataFrame, path: str) -> None:
+    """A table in folders by service, each to be taken out alone."""
+    write_table(df, path, ["service_name"])
+
+
 def align(df: DataFrame, schema) -> DataFrame:
     """Columns of a schema in its order: cast, null where missing."""
     return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])

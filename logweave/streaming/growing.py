@@ -7,6 +7,7 @@ import glob
 import gzip
 import hashlib
 import os
+import re
 import time
 from collections.abc import Iterator
 
@@ -35,6 +36,45 @@ def listed(folder: str) -> list[str]:
     return sorted(found)
 
 
+def last_line_feed(path: str, end: int | None = None) -> int:
+    """The byte behind the last line feed of a file, looked for from its end (or from ``end``) backward; 0 if there is none."""
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END) if end is None else end
+        while at > 0:
+            lo = max(0, at - 65536)
+            f.seek(lo)
+            found = f.read(at - lo).rfind(b"\n")
+            if found >= 0:
+                return lo + found + 1
+            at = lo
+    return 0
+
+
+def last_boot(path: str, boot: str, head: str, block: int = 65536, align: int = 4096) -> int | None:
+    """The byte at which the last restart of a file begins: looked for from the end in blocks, so a long file is hardly read.
+
+    boot: any message of a restart; head: those that come first.  The last
+    message of the file counts, with the earliest head message at most
+    ``align`` bytes before; the start of its line is given, None without any.
+    """
+    any_, first = re.compile(boot.encode()), re.compile(head.encode())
+    with open(path, "rb") as f:
+        end = f.seek(0, os.SEEK_END)
+        found = None
+        while end > 0 and found is None:
+            lo = max(0, end - block)
+            f.seek(lo)
+            hits = list(any_.finditer(f.read(end - lo + 256)))  # a message may go over the end of the block
+            found = lo + hits[-1].start() if hits else None
+            end = lo
+        if found is None:
+            return None
+        lo = max(0, found - align)
+        f.seek(lo)
+        heads = [lo + m.start() for m in first.finditer(f.read(found - lo + 256)) if lo + m.start() <= found]
+        return last_line_feed(path, min(heads, default=found))
+
+
 def position(path: str, settle_s: float) -> dict | None:
     """What is readable of a file: its inode, a digest of its first line, and the end of the last whole line.
 
@@ -45,12 +85,7 @@ def position(path: str, settle_s: float) -> dict | None:
         st = os.fstat(f.fileno())
         end = st.st_size
         if os.path.splitext(path)[1] not in PACKED and time.time() - st.st_mtime < settle_s:
-            at, end = end, 0
-            while at > 0 and not end:
-                lo = max(0, at - 65536)
-                f.seek(lo)
-                found = f.read(at - lo).rfind(b"\n")
-                end, at = (lo + found + 1 if found >= 0 else 0), lo
+            end = last_line_feed(path, end)
         f.seek(0)
         head = f.read(min(HEAD, end)).split(b"\n", 1)[0]
     return {"inode": st.st_ino, "head": hashlib.md5(head).hexdigest(), "end": end} if end else None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweave.operators import ingest, templates
+from logweave.operators.combine import combine_batches
 from logweave.session import ship
 from logweave.sources import files
 from logweave.streaming import growing
@@ -52,11 +54,12 @@ def _detect(z_threshold: float, min_count: int, novelty_min: int):
 def anomalies(events: DataFrame, baseline: DataFrame, z_threshold: float = 3.0, min_count: int = 5, novelty_min: int = 3) -> DataFrame:
     """Anomalies of a stream of events (template_id) against a baseline (template_id, mean_count, std_count, p95_count).
 
-    Every micro-batch is counted per event row; the state is one row per
-    template and survives restarts with the checkpoint.
+    Every micro-batch is counted where it is read, so a template with a third
+    of the events reaches its task as a row per Arrow batch; the state is one
+    row per template and survives restarts with the checkpoint.
     """
     b = baseline.select(F.col("template_id").alias("_b"), "mean_count", "std_count", "p95_count")
-    rows = events.where("template_id is not null").select("template_id", F.lit(1).cast("long").alias("n"))
+    rows = combine_batches(events.where("template_id is not null"), ["template_id"], count="n")
     joined = rows.join(b, F.col("template_id") == F.col("_b"), "left").drop("_b")
     return joined.groupBy("template_id").applyInPandasWithState(_detect(z_threshold, min_count, novelty_min), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -100,20 +103,58 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None =
     return spark.readStream.format("growing_files").option("folder", os.path.abspath(path)).option("settle_s", str(settle_s)).load()
 
 
-def materialize(stream: DataFrame, out: str, checkpoint: str, service: str, run_id: str):
-    """Append the events of new lines and rebuild the templates from all events; returns the running query.
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Batch numbers of the ``batch=N`` folders below a path, in order."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+
+def materialize(stream: DataFrame, out: str, checkpoint: str, service: str, run_id: str, every: str | None = None):
+    """Append the events of new lines and bring the templates up to date; returns the running query.
 
     Each micro-batch is a folder of its own, so a batch that is run again
-    replaces itself.  A record whose lines come in two batches is two records.
+    replaces itself.  Templates are merged from their aggregates up to the
+    batch before and those of the batch: no event is read twice.  A record
+    whose lines come in two batches is two records.  every: seconds or other
+    interval of a query that goes on; without it all there is is read once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         lines = batch.select("source", "first_line", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("_n", "line")).select("source", (F.col("_n") + F.col("first_line")).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+        spark = batch.sparkSession
         files.write_table(ingest.decode(ingest.records(lines), service, run_id, ""), f"{out}/events/batch={number}")
-        everything = batch.sparkSession.read.parquet(f"{out}/events")
-        files.write_table(templates.aggregate_templates(everything), f"{out}/templates.parquet")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        partial = templates.partial_templates(spark.read.parquet(f"{out}/events/batch={number}"))
+        older = [n for n in _numbers(spark, f"{out}/state") if n < number]
+        if older:
+            partial = templates.merge_templates(partial.unionByName(spark.read.parquet(f"{out}/state/batch={older[-1]}")))
+        files.write_table(partial, f"{out}/state/batch={number}")
+        files.write_table(templates.finished_templates(spark.read.parquet(f"{out}/state/batch={number}")), f"{out}/templates.parquet")
+        for n in older[:-1]:  # the one before stays, for this batch to be run again
+            _remove(spark, f"{out}/state/batch={n}")
+
+    how = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**how).start()
+
+
+def run_until(query, max_runtime_s: float | None = None, idle_ticks: int | None = None, stop: Callable[[], bool] | None = None, tick_s: float = 1.0) -> str:
+    """Wait for a running query until it ends, has run so long, had no new rows for so many ticks, or ``stop`` says so; the reason."""
+    began, idle, last = time.monotonic(), 0, None
+    while not query.awaitTermination(tick_s):
+        now = progress(query)
+        idle = 0 if now["batch"] != last and now["rows"] else idle + 1
+        last = now["batch"]
+        reason = "max_runtime" if max_runtime_s is not None and time.monotonic() - began >= max_runtime_s else "idle" if idle_ticks is not None and idle >= idle_ticks else "stopped" if stop is not None and stop() else None
+        if reason:
+            query.stop()
+            return reason
+    return "ended"
 
 
 def to_ndjson(stream: DataFrame, out: str, checkpoint: str):

@@ -73,13 +73,19 @@ def test_inputs(folder):
         files.resolve_inputs([str(folder / "none*")])
 
 
-@pytest.mark.parametrize("whole", [1 << 20, 1])
-def test_lines_and_offsets(spark, folder, whole):
-    lines = files.read_lines(spark, files.resolve_inputs([str(folder / "sub"), str(folder / "empty.log")]), whole)
-    want = [x.rstrip("\r") for x in LOG.split("\n")[:-1]]
-    assert [r.line for r in lines.orderBy("line_no").collect()] == want
-    got = [r.offset for r in files.byte_offsets(lines, 3).orderBy("line_no").collect()]
-    assert got == [sum(len(x) + 1 for x in want[:i]) for i in range(len(want))]
+@pytest.mark.parametrize("split", ["128m", "7b", "64b"])
+def test_lines_and_offsets(spark, folder, split):
+    """The same lines and bytes however a file is split, a lone carriage return ends no line."""
+    p = folder / "sub" / "a.log"
+    p.write_bytes(p.read_bytes() + "one\rtwo\r\nthr\u00e9e\n\nlast".encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = files.read_lines(spark, files.resolve_inputs([str(folder / "sub"), str(folder / "empty.log")])).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    raw = p.read_bytes().split(b"\n")
+    assert [(r.line_no, r.line) for r in got] == [(i + 1, x.decode().removesuffix("\r")) for i, x in enumerate(raw)]
+    assert [r.offset for r in got] == [sum(len(x) + 1 for x in raw[:i]) for i in range(len(raw))]
 
 
 def test_decode(spark, folder):
