@@ -161,3 +161,11 @@ def jaccard(a: Column, b: Column) -> Column:
 def epoch_seconds(c: Column) -> Column:
     """Seconds since 1970 of ISO date-times (a comma before the fraction too), read as UTC where they have no zone; null for others."""
     return F.unix_micros(F.when(c.rlike(ISO_DATE_TIME), F.try_to_timestamp(F.regexp_replace(c, ",", ".")))) / F.lit(1_000_000.0)
+
+
+def prettify_traceback(c: Column) -> Column:
+    """A traceback on one line with its structure back: header, each ``File`` line and the code below it on lines of their own. Texts with line feeds stay."""
+    t = F.regexp_replace(c, r"(Traceback \(most recent call last\):)\s*", "\n$1\n")
+    t = F.regexp_replace(t, r"\s*(File \"[^\"]+\", line \S+?, in \S+)\s*", "\n  $1\n    ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n[ \t]*\n", "\n")
+    return F.when(c.isNull(), "").when(c.contains("\n"), c).otherwise(F.regexp_replace(t, r"^\s+|\s+\z", ""))

@@ -29,15 +29,18 @@ INFRA_PATTERNS = (
 )
 CODE_PATTERNS = (r"\bTraceback\s+\(most\s+recent\s+call\s+last\)\b", r"\b(?:in|line)\s+\d+,?\s+in\s+\w+", r"(?i)\bUnhandled\s+exception\b", r"(?i)\bassert(?:ion)?\s+(?:failed|error)\b")
 
+#: Thresholds for what is unexpected, where a rule file gives none.
+UNEXPECTED = {"new_error_severities": list(ERROR_LEVELS), "frequency_increase_ratio": 2.0, "min_count": 5}
+
 #: The default catalogue of rules; the first that matches wins.
 DEFAULT_RULES = {
     "known_noise": [
-        {"id": "client_disconnect_broken_pipe", "severity": ["WARNING", "ERROR"], "template_regex": "(BrokenPipeError|connection reset|client disconnected|ConnectionResetError)", "reason": "Accepted client disconnect noise."},
-        {"id": "health_probe_timeout", "severity": ["WARNING", "ERROR"], "template_regex": "(health.?check|readiness|liveness).*(timeout|disconnect)", "reason": "Health probe transport noise."},
+        {"id": "peer_went_away", "severity": ["WARNING", "ERROR"], "template_regex": "(BrokenPipeError|connection reset|client disconnected|ConnectionResetError)", "reason": "a client closed its connection"},
+        {"id": "probe_timed_out", "severity": ["WARNING", "ERROR"], "template_regex": "(health.?check|readiness|liveness).*(timeout|disconnect)", "reason": "a health probe timed out"},
     ],
     "expected": [
-        {"id": "startup_log_level", "severity": ["INFO"], "template_contains": "LogLevel:", "reason": "Standard service startup logging."},
-        {"id": "apscheduler_noise", "severity": ["WARNING"], "template_regex": "apscheduler|scheduler", "reason": "Scheduler warning catalog entry. Review before promoting to known-noise."},
+        {"id": "log_level_at_start", "severity": ["INFO"], "template_contains": "LogLevel:", "reason": "a service tells its log level at start"},
+        {"id": "scheduler_warning", "severity": ["WARNING"], "template_regex": "apscheduler|scheduler", "reason": "a scheduler warns"},
     ],
 }
 
@@ -62,7 +65,7 @@ def load_rules(path: str) -> dict:
         import json
 
         data = json.loads(raw)
-    return {k: list((data or {}).get(k) or []) for k in ("known_noise", "expected")}
+    return {**{k: list((data or {}).get(k) or []) for k in ("known_noise", "expected")}, "unexpected": {**UNEXPECTED, **((data or {}).get("unexpected") or {})}}
 
 
 def rule_predicate(rule: dict, body: Column | None = None) -> Column:
@@ -99,7 +102,8 @@ def classify_templates(templates: DataFrame, baseline_ids: DataFrame | None = No
         b = baseline_ids.select(F.col("template_id").alias("_b")).distinct()
         df = df.join(b, F.col("template_id") == F.col("_b"), "left").withColumn("baseline_match", F.col("_b").isNotNull()).drop("_b")
     noise, expected = _first_match(rules["known_noise"], "reason"), _first_match(rules["expected"], "reason")
-    failing = F.upper("severity_text").isin(*ERROR_LEVELS) | ~F.coalesce("error_kind", F.lit("")).isin("", "none")
+    levels = [str(x).upper() for x in (rules.get("unexpected") or UNEXPECTED).get("new_error_severities", ERROR_LEVELS)]
+    failing = F.coalesce(F.upper("severity_text").isin(*levels), F.lit(False)) | ~F.coalesce("error_kind", F.lit("")).isin("", "none")
     df = df.withColumn("_n", noise).withColumn("_e", expected).withColumn("_x", failing)
     kind = F.when(F.col("_n").isNotNull(), "known-noise").when(F.col("_e").isNotNull() | F.col("baseline_match"), "expected").when(F.col("_x"), "unexpected").otherwise("observed")
     reason = F.coalesce("_n", "_e", F.when(F.col("baseline_match"), REASONS["baseline"]).when(F.col("_x"), REASONS["unexpected"]).otherwise(REASONS["observed"]))
@@ -120,9 +124,10 @@ def issue_kind(text: Column, exception: Column, kind: Column, severity: Column)
     return out.when(kind == "traceback", "code").when(F.upper(severity).isin(*ERROR_LEVELS), "code").otherwise("unknown")
 
 
-def error_predicate(classes: Sequence[str] = ("unexpected", "known-noise")) -> Column:
-    """Failing severity, or an error kind, or one of the classes."""
-    return F.coalesce(F.col("severity_text").isin(*ERROR_LEVELS), F.lit(False)) | ~F.coalesce("error_kind", F.lit("none")).isin("", "none") | F.coalesce(F.col("classification").isin(*classes), F.lit(False))
+def error_predicate(classes: Sequence[str] = ("unexpected", "known-noise"), fold: bool = False) -> Column:
+    """Failing severity (``fold``: in any letter case), or an error kind, or one of the classes."""
+    level = F.upper("severity_text") if fold else F.col("severity_text")
+    return F.coalesce(level.isin(*ERROR_LEVELS), F.lit(False)) | ~F.coalesce("error_kind", F.lit("none")).isin("", "none") | F.coalesce(F.col("classification").isin(*classes), F.lit(False))
 
 
 def focus(templates: DataFrame, what: str) -> DataFrame:

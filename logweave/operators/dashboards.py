@@ -63,7 +63,12 @@ def health(findings: DataFrame) -> DataFrame:
     """Findings per service and in all (service_name null): a rollup."""
     k = lambda x: F.count_if(F.col("kind") == x)
     events = F.coalesce(F.sum(F.when(F.col("kind") == "code_error", F.col("observed_count"))), F.lit(0))
-    return findings.rollup("service_name").agg(k("code_error").alias("code_error_templates"), events.alias("code_error_events"), k("new_template").alias("new_templates"), k("regressed_template").alias("regressed_templates"))
+    return findings.rollup("service_name").agg(k("code_error").alias("code_error_templates"), events.alias("code_error_events"), k("new_template").alias("new_templates"), k("regressed_template").alias("regressed_templates"), k("policy_violation").alias("policy_violations"))
+
+
+def latest_health(findings: DataFrame, latest: DataFrame) -> DataFrame:
+    """The same over the latest run of each service only (see ``registry.latest_runs``)."""
+    return health(findings.join(latest.select("run_id").distinct(), "run_id", "left_semi"))
 
 
 def connectivity(incidents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.functions import text
-from logweave.operators.classify import ERROR_LEVELS
+from logweave.operators.classify import ERROR_LEVELS, error_predicate
 
 SAFE_LEVELS = ("INFO", "DEBUG", "NOTICE")
 # Order of severities for shifts.
@@ -31,9 +31,11 @@ def delta_factor(count: Column, mean: Column) -> Column:
 
 
 def compare_runs(left: DataFrame, right: DataFrame, ratio: float = 2.0, min_count: int = 5, rise: int | None = None) -> DataFrame:
-    """Templates of two runs: ``new`` and ``fixed`` ones with errors, and common ones whose count grew by ``ratio`` and by ``rise``, if not given ``min_count``, events at least (kind ``frequency``)."""
+    """Templates of two runs: ``new`` and ``fixed`` ones with errors (a failing severity, an error kind, or classified unexpected or a regression), and common ones whose count grew by ``ratio`` and by ``rise``, if not given ``min_count``, events at least (kind ``frequency``)."""
     rise = min_count if rise is None else rise
-    failing = lambda p: F.coalesce(F.col(f"{p}.severity_text").isin(*ERROR_LEVELS), F.lit(False)) | ~F.coalesce(F.col(f"{p}.error_kind"), F.lit("none")).isin("", "none")
+    classed = lambda d: d if "classification" in d.columns else d.withColumn("classification", F.lit(None).cast("string"))
+    left, right = (classed(d).withColumn("_failing", error_predicate(("unexpected", "regression"), fold=True)) for d in (left, right))
+    failing = lambda p: F.col(f"{p}._failing")
     j = left.alias("l").join(right.alias("r"), F.col("l.template_id") == F.col("r.template_id"), "full")
     before, after = F.col("l.event_count"), F.col("r.event_count")
     kind = F.when(before.isNull() & failing("r"), "new").when(after.isNull() & failing("l"), "fixed").when((after >= min_count) & (after >= F.greatest(before * ratio, before + rise)), "frequency")
@@ -129,6 +131,11 @@ def diff_summary(findings: DataFrame, by: tuple[str, ...] = ("run_id",)) -> Data
     return g.withColumn("verdict", F.when(~some, "no-change").when(unsafe, "unsafe").otherwise("safe")).drop("_risky", "_up")
 
 
+def overrides_for(overrides: DataFrame, service: str, scenario: str) -> DataFrame:
+    """Decisions on the templates of one service and scenario."""
+    return overrides.where((F.col("service_name") == service) & (F.col("scenario") == scenario))
+
+
 def set_override(overrides: DataFrame, service: str, scenario: str, template: str, decision: str | None, reason: str = "", set_by: str = "", set_at: str = "") -> DataFrame:
     """Overrides with one key set, or cleared for a null decision."""
     if decision not in (None, "pinned", "banned"):

@@ -124,6 +124,11 @@ def tree_state(templates: DataFrame, state: DataFrame | None = None, depth: int
     return rows.groupBy("service_name", "n_tokens").cogroup(state.groupBy("service_name", "n_tokens")).applyInPandas(one, schema)
 
 
+def changes(clusters: DataFrame) -> DataFrame:
+    """The templates that move to another one: where there are none, nothing has to be rewritten."""
+    return clusters.where("template_id <> canonical_template_id").select("template_id", "canonical_template_id")
+
+
 def rollup(clusters: DataFrame) -> DataFrame:
     """Canonical templates: their members, events and number of members."""
     g = clusters.groupBy("service_name", "canonical_template_id")

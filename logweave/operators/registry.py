@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,24 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_deltas(runs: DataFrame) -> DataFrame:
-    """Each run against the run before of its service: delta_events, delta_errors (null for the first), and whether it alerts."""
+    """Each run against the run before of its service: delta_events, delta_errors and, where the runs have them, delta_templates,
+    delta_code_errors and delta_log_bytes (null for the first), and whether it alerts: errors or code errors rose."""
     w = Window.partitionBy("service_name").orderBy("created_at", "run_id")
     d = lambda c: F.col(c) - F.lag(c).over(w)
-    out = runs.select("run_id", "service_name", "created_at", d("event_count").alias("delta_events"), d("error_count").alias("delta_errors"))
-    return out.withColumn("alert", F.coalesce(F.col("delta_errors") > 0, F.lit(False)))
+    counts = [c for c in ("template_count", "code_event_count", "input_bytes") if c in runs.columns]
+    names = {"template_count": "delta_templates", "code_event_count": "delta_code_errors", "input_bytes": "delta_log_bytes"}
+    out = runs.select("run_id", "service_name", "created_at", d("event_count").alias("delta_events"), d("error_count").alias("delta_errors"), *[d(c).alias(names[c]) for c in counts])
+    rises = F.col("delta_errors") > 0
+    if "code_event_count" in counts:
+        rises = rises | (F.col("delta_code_errors") > 0)
+    return out.withColumn("alert", F.coalesce(rises, F.lit(False)))
+
+
+def gate(summary: DataFrame) -> DataFrame:
+    """Runs that a pipeline should stop for: whose verdict is not safe, or with new templates or code errors (of ``diff.diff_summary``)."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    passes = (F.col("verdict") != "unsafe") & none("new") & none("code_errors")
+    return summary.where(~passes)
 
 
 def history(runs: DataFrame, keep: int = 200) -> DataFrame:
@@ -90,12 +105,37 @@ def snapshot_status(current: DataFrame, known: DataFrame) -> DataFrame:
     return current.join(seen, ["service_name", "container"], "left").withColumn("snapshot_status", F.when(F.col("_prints").isNull(), "new_container").when(F.array_contains("_prints", F.col("fingerprint")), "same_snapshot").otherwise("same_container_new_logs")).drop("_prints")
 
 
-def previous_runs(runs: DataFrame) -> DataFrame:
-    """The run before each run of its service and scenario by (created_at, run_id); null for the first."""
-    w = Window.partitionBy("service_name", "scenario").orderBy("created_at", "run_id")
+def previous_runs(runs: DataFrame, by: Sequence[str] = ("service_name", "scenario")) -> DataFrame:
+    """The run before each run of its service and scenario (or container: ``by``) by (created_at, run_id); null for the first."""
+    w = Window.partitionBy(*by).orderBy("created_at", "run_id")
     return runs.select("run_id", F.lag("run_id").over(w).alias("previous_run_id"))
 
 
 def overview(indexed: DataFrame, streamed: DataFrame) -> DataFrame:
     """Services of the index and of the stream together (service_name, then the columns of either side)."""
     return indexed.join(streamed, "service_name", "full")
+
+
+def services_and_scenarios(runs: DataFrame) -> DataFrame:
+    """The different services and scenarios: (what, name, runs), each in order."""
+    each = lambda c, what: runs.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("runs")).select(F.lit(what).alias("what"), "name", "runs")
+    return each("service_name", "service").unionByName(each("scenario", "scenario"))
+
+
+#: Orders in which tables are shown and written.
+ORDERS = {
+    "registry": (("service_name", "asc"), ("created_at", "asc"), ("run_id", "asc")),
+    "template_registry": (("service_name", "asc"), ("total_event_count", "desc"), ("template_id", "asc")),
+    "baseline": (("service_name", "asc"), ("scenario", "asc"), ("mean_count", "desc"), ("template_id", "asc")),
+    "regressed": (("delta_factor", "desc"), ("template_id", "asc")),
+    "code_errors": (("observed_count", "desc"), ("template_id", "asc")),
+    "cooccurrence": (("lift", "desc"), ("n", "desc"), ("template_a", "asc"), ("template_b", "asc")),
+    "dependencies": (("service_name", "asc"), ("incidents", "desc"), ("dependency", "asc")),
+    "replay": (("ts_us", "asc"), ("kind", "asc")),
+    "templates": (("event_count", "desc"), ("template_id", "asc")),
+}
+
+
+def ordered(df: DataFrame, name: str) -> DataFrame:
+    """A table in its order of :data:`ORDERS`; nulls come first in ascending order."""
+    return df.orderBy(*[F.col(c).desc() if how == "desc" else F.col(c).asc() for c, how in ORDERS[name]])

@@ -698,7 +698,35 @@ def regression_burndown(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""select service_name, {_N("code_error")} code_error_templates, cast(coalesce(sum(observed_count) filter (kind = 'code_error'), 0) as bigint) code_error_events, {_N("new_template")} new_templates, {_N("regressed_template")} regressed_templates from {FINDINGS_SQL} group by rollup (service_name)""")
 def service_health(spark: SparkSession, folder: str) -> DataFrame:
-    return dashboards.health(diff.diff_findings(*_base(spark, folder)))
+    return dashboards.health(diff.diff_findings(*_base(spark, folder))).drop("policy_violations")
+
+
+_HEALTH = f"""{_N("code_error")} code_error_templates, cast(coalesce(sum(observed_count) filter (kind = 'code_error'), 0) as bigint) code_error_events, {_N("new_template")} new_templates, {_N("regressed_template")} regressed_templates, {_N("policy_violation")} policy_violations"""
+
+
+@query(f"select service_name, {_HEALTH} from {_WHOLE_OVERRIDDEN_SQL} group by rollup (service_name)")
+def service_health_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings per service and in all after decisions, with what violates them."""
+    _, _, base, found = _found(spark, folder)
+    return dashboards.health(diff.apply_overrides(found, _whole_decisions(base, found)))
+
+
+@query(f"select service_name, {_HEALTH} from {_WHOLE_OVERRIDDEN_SQL} where run_id in (select arg_max(run_id, struct_pack(a := created_at, b := run_id)) from {_RUNS} group by service_name) group by rollup (service_name)")
+def latest_health(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the latest run of each service."""
+    _, runs, base, found = _found(spark, folder)
+    return dashboards.latest_health(diff.apply_overrides(found, _whole_decisions(base, found)), registry.latest_runs(runs))
+
+
+@query(f"select run_id from ({SQL['diff_summary_whole']}) where verdict = 'unsafe' or \"new\" > 0 or code_errors > 0")
+def ci_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs that a pipeline should stop for."""
+    return registry.gate(diff_summary_whole(spark, folder)).select("run_id")
+
+
+@query(f"select 'service' what, service_name \"name\", count(*) runs from {_RUNS} where service_name is not null group by all union all select 'scenario', scenario, count(*) from {_RUNS} where scenario is not null group by all")
+def services_and_scenarios(spark: SparkSession, folder: str) -> DataFrame:
+    return registry.services_and_scenarios(model.runs(spark, folder))
 
 
 @query(f"select service_name, count(*) incidents, string_agg(distinct dependency, ', ' order by dependency) dependencies, round(coalesce(sum(duration_seconds), 0), 3) downtime_s from {_INC} group by all")
