@@ -81,7 +81,34 @@ def with_normalized(df: DataFrame, text: str, out: str = "normalized_template")
         for when, some in ((F.col("_long"), steps[:n]), (F.col("_gate"), [number]), (F.col("_gate") & F.col(out).contains("_"), [prefix]), (F.col("_long"), [long_id])):
             df = df.withColumn(out, F.when(when, _replaced(out, some)).otherwise(F.col(out)))
         df = df.drop("_gate", "_long")
-    return df.withColumn(out, F.regexp_replace(F.regexp_replace(F.col(out), r"^\s+|\s+\z", ""), r"\s+", " "))
+    return df.withColumn(out, _one_space(F.col(out)))
+
+
+def _one_space(c: Column) -> Column:
+    """Runs of blanks that are not one space already become one, then the ends are cut."""
+    return F.trim(F.regexp_replace(c, r"[\t\n\x0B\f\r]\s*| \s+", " "))
+
+
+def normalized(c: Column) -> Column:
+    """The template of a text as one expression, for texts that few rows have: parts of it are evaluated more than once.
+
+    Most gates only save time; those for addresses with ports and for digits decide what is replaced.
+    """
+
+    def apply(x: Column, steps: list[tuple[str, str]]) -> Column:
+        for pattern, token in steps:
+            x = F.regexp_replace(x, pattern, token)
+        return x
+
+    x = strip_ansi(c)
+    for gate, steps in normalize_steps():
+        if gate == ":":
+            x = F.when(F.contains(x, F.lit(gate)), apply(x, steps)).otherwise(x)
+        elif gate[0] == "~":
+            x = F.when(x.rlike(gate[1:]), apply(x, steps)).otherwise(x)
+        else:
+            x = apply(x, steps)
+    return _one_space(x)
 
 
 def first_line(c: Column) -> Column:
@@ -91,12 +118,14 @@ def first_line(c: Column) -> Column:
 
 def cut_headline(normalized: Column) -> Column:
     """Headline before variable content, at most 200 characters."""
-    return F.regexp_replace(F.substring(F.split(normalized, HEADLINE_CUT, 2)[0], 1, 200), r"[,: -]+\z", "")
+    head = F.when(normalized.rlike(r"[:=\[{(]"), F.split(normalized, HEADLINE_CUT, 2)[0]).otherwise(normalized)
+    return F.rtrim(F.substring(head, 1, 200), F.lit(",: -"))
 
 
 def exception_type(c: Column) -> Column:
     """The last exception class named in a text."""
-    return F.try_element_at(F.regexp_extract_all(c, F.lit(EXCEPTION), F.lit(1)), F.lit(-1))
+    some = F.contains(c, F.lit("Error")) | F.contains(c, F.lit("Exception")) | F.contains(c, F.lit("Timeout")) | F.contains(c, F.lit("Failure"))
+    return F.when(some, F.try_element_at(F.regexp_extract_all(c, F.lit(EXCEPTION), F.lit(1)), F.lit(-1)))
 
 
 def error_kind(body: Column, severity: Column, exception: Column) -> Column:

@@ -58,11 +58,11 @@ def identify(events: DataFrame, body: str = "body") -> DataFrame:
     that of the first, so a traceback below it does not change the id.
     """
     df = text.with_normalized(events.drop("normalized_template", "template_id", "headline", "exception_type", "error_kind"), body)
-    df = text.with_normalized(df.withColumn("_first", F.when(F.col(body).contains("\n"), text.first_line(F.col(body)))), "_first", "_first_normalized")
-    head = text.cut_headline(F.coalesce("_first_normalized", "normalized_template"))
-    df = df.withColumn("headline", head).withColumn("exception_type", text.exception_type(F.col(body)))
+    several = F.col(body).contains("\n")
+    df = df.withColumn("_line", F.when(several, text.normalized(text.first_line(F.col(body)))).otherwise(F.col("normalized_template")))
+    df = df.withColumn("headline", text.cut_headline(F.col("_line"))).withColumn("exception_type", text.exception_type(F.col(body)))
     df = df.withColumn("error_kind", text.error_kind(F.col(body), F.col("severity_text"), F.col("exception_type")))
-    return df.withColumn("template_id", ids.template_id(F.col("service_name"), F.col("severity_text"), F.col("headline"))).drop("_first", "_first_normalized")
+    return df.withColumn("template_id", ids.template_id(F.col("service_name"), F.col("severity_text"), F.col("headline"))).drop("_line")
 
 
 def value_counts(events: DataFrame, columns: Sequence[str]) -> DataFrame:
