@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave import schemas
 from logweave.functions import ids, text
-from logweave.functions.layouts import parse_json
 from logweave.operators import templates
 from logweave.operators.log_entries import CHUNK_LINES, assemble, by_pattern
 from logweave.sources.files import align
@@ -42,16 +40,21 @@ KEYS: dict[str, tuple] = {
 }
 
 
-@F.pandas_udf(T.BooleanType())
-def is_json_object(raw: pd.Series) -> pd.Series:
-    """Whether a text is one valid JSON object and nothing else (built-in parsers let text after it pass)."""
-    return pd.Series([isinstance(t, str) and t.lstrip().startswith("{") and parse_json(t.strip()).parse_format == "json" for t in raw], dtype=bool)
+#: One valid JSON object and nothing else. As a list of one, so that text behind it, which the parser would let pass, makes it invalid.
+_OPTIONS = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false", "allowComments": "false"}
+_TOP = sorted({k if isinstance(k, str) else k[0] for ks in KEYS.values() for k in ks} | {"attributes", "resource"})
+_RECORD = T.StructType([T.StructField(k, T.StringType()) for k in _TOP])
+
+
+def _parsed(raw: Column) -> Column:
+    """The fields of :data:`KEYS` of a JSON object as texts, from one parse; null for any other text."""
+    text_ = F.when(raw.rlike(r"^\s*\{"), F.concat(F.lit("["), raw, F.lit("]")))
+    return F.from_json(text_, T.ArrayType(_RECORD), _OPTIONS)
 
 
 def _json_field(keys: tuple) -> Column:
-    """First value that is neither null nor empty."""
-    path = lambda k: f"$['{k}']" if isinstance(k, str) else "$" + "".join(f"['{x}']" for x in k)
-    got = [F.get_json_object("raw", path(k)) for k in keys]
+    """First value that is neither null nor empty; a pair is looked up in its object only where there is one."""
+    got = [F.col("_record").getField(k) if isinstance(k, str) else F.get_json_object(F.col("_record").getField(k[0]), f"$['{k[1]}']") for k in keys]
     return F.coalesce(*[F.when(g != "", g) for g in got])
 
 
@@ -78,7 +81,8 @@ def decode(recs: DataFrame, service: str, run_id: str, observed_at: str, include
     record's place (see ``records``).  strict: generic text of several lines
     is whole message, as an older reader had it.
     """
-    df = recs.withColumn("_json", is_json_object("raw")).withColumn("_tabs", F.split("raw", "\t", 5))
+    df = recs.withColumn("_list", _parsed(F.col("raw"))).withColumn("_record", F.when(F.size("_list") == 1, F.get("_list", F.lit(0))))
+    df = df.withColumn("_json", F.col("_record").isNotNull()).withColumn("_tabs", F.split("raw", "\t", 5)).drop("_list")
     generic = GENERIC_STRICT if strict else GENERIC
     df = df.withColumn("_form", F.when(F.col("_json"), "json").when(F.size("_tabs") == 5, "tab").when(F.col("raw").rlike(generic), "generic").otherwise("raw"))
     by = lambda **c: F.coalesce(*[F.when(F.col("_form") == k, v) for k, v in c.items()])
@@ -98,7 +102,7 @@ def decode(recs: DataFrame, service: str, run_id: str, observed_at: str, include
         F.coalesce(by(json=field["service_name"]), F.lit(service)).alias("service_name"), F.lit(service).alias("_scan_service"),
         by(json=field["thread_name"], tab=F.get(head, F.lit(1))).alias("thread_name"), by(json=field["process_name"], tab=F.get(head, F.lit(2))).alias("process_name"),
         by(json=field["process_pid"]).try_cast("long").alias("process_pid"), F.coalesce(by(json=field["server_kind"]), text.server_kind(F.col("raw"), F.lit(service))).alias("server_kind"),
-        F.coalesce(by(json=F.get_json_object("raw", "$.attributes"), tab=location), F.lit("{}")).alias("attributes_json"), F.coalesce(by(json=F.get_json_object("raw", "$.resource")), F.lit("{}")).alias("resource_json"),
+        F.coalesce(by(json=F.col("_record").getField("attributes"), tab=location), F.lit("{}")).alias("attributes_json"), F.coalesce(by(json=F.col("_record").getField("resource")), F.lit("{}")).alias("resource_json"),
         ids.stable_id(F.col("raw")).alias("raw_hash"), (F.col("raw") if include_raw else F.lit(None).cast("string")).alias("raw"), *[c.alias(k) for k, c in only.items()],
     )
     # the id of a template uses the service of the scan, so a record's own service name does not split templates

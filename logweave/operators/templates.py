@@ -23,7 +23,9 @@ def partial_templates(events: DataFrame, static: Sequence[str] = STATIC) -> Data
     seen = F.coalesce(filled("timestamp"), filled("observed_timestamp"))
     worst = F.max(F.coalesce(F.array_position(F.array(*map(F.lit, _STATUS)), F.col("parse_status")), F.lit(0)))
     first = F.min(F.struct("source", "offset", "event_id", *static))
-    return events.where("template_id is not null").groupBy("template_id").agg(F.count(F.lit(1)).alias("event_count"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), first.alias("f"), worst.alias("w"))
+    # what has no template is left out behind the aggregation: a filter in front would be pushed into the expressions that compute the id
+    g = events.groupBy("template_id").agg(F.max("template_id").alias("_any"), F.count(F.lit(1)).alias("event_count"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), first.alias("f"), worst.alias("w"))
+    return g.where("_any is not null").drop("_any")
 
 
 def merge_templates(partials: DataFrame) -> DataFrame:
