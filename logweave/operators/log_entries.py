@@ -43,12 +43,15 @@ def entry_fields(text: pa.Array, layout: pa.Array) -> pa.Array:
     return L.parse_entries(text, layout)
 
 
-def with_layout(df: DataFrame, line: str) -> DataFrame:
-    """Add ``_layout``, the layout that a (cleaned) line begins an entry with; -1 of a continuation.
+def layout_rules(lines: DataFrame) -> DataFrame:
+    """The rules (signature, layout) of all (cleaned) lines: each distinct signature is resolved once, and their number is counted before they are sent to the executors."""
+    line = lines.columns[0]
+    return sized(L.with_signature(lines, line, "_rule").select("_rule").distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"), RULES_BROADCAST)
 
-    The distinct signatures of all rows are counted before the rules are sent to the executors.
-    """
-    rules = sized(L.with_signature(df.select(line), line, "_rule").select("_rule").distinct().select("_rule", resolve("_rule").alias("_layout")).where("_layout >= 0"), RULES_BROADCAST)
+
+def with_layout(df: DataFrame, line: str, rules: DataFrame | None = None) -> DataFrame:
+    """Add ``_layout``, the layout that a (cleaned) line begins an entry with; -1 of a continuation. rules: of these and other lines."""
+    rules = layout_rules(df.select(line)) if rules is None else rules
     found = L.with_signature(df, line, "_rule").join(rules, "_rule", "left")
     return found.withColumn("_layout", F.coalesce("_layout", F.lit(-1))).drop("_rule")
 
@@ -104,9 +107,22 @@ def with_fields(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_f", entry_fields("text", "layout")).select(*[F.col(c) for c in entries.columns if c not in ("text", "layout")], "_f.*")
 
 
-def log_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+def log_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES, rules: DataFrame | None = None) -> DataFrame:
     """One row per entry of physical lines: source, record_pos, line_count and the fields."""
-    return with_fields(assemble(combine_batches(lines, ["source", "line_no", "line"]), chunk_lines))
+    return with_fields(assemble(combine_batches(lines, ["source", "line_no", "line"]), chunk_lines, layouts=lambda df, line: with_layout(df, line, rules)))
+
+
+def rules_of(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """The rules of physical lines and of the unsplit bodies of events together."""
+    return layout_rules(lines.select(clean_lines("line").alias("_line")).unionByName(_unsplit(events).select(_head("text").alias("_line"))))
+
+
+def _head(c: str) -> Column:
+    return F.substring_index(c, "\n", 1)
+
+
+def _unsplit(events: DataFrame) -> DataFrame:
+    return events.where(F.col("template_id").isNull() & F.col("event_id").isNotNull()).select("event_id", "source", F.col("offset").alias("record_pos"), clean_lines("body").alias("text"))
 
 
 def json_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
@@ -114,11 +130,10 @@ def json_entries(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     return with_fields(assemble(combine_batches(lines, ["source", "line_no", "line"]), chunk_lines).where(F.startswith("text", F.lit("{"))))
 
 
-def unsplit_entries(events: DataFrame) -> DataFrame:
+def unsplit_entries(events: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """The same for events with null ``template_id``: each ``body`` is one entry, once per ``event_id``; null bodies are empty ones."""
-    rows = events.where(F.col("template_id").isNull() & F.col("event_id").isNotNull()).select("event_id", "source", F.col("offset").alias("record_pos"), clean_lines("body").alias("text"))
-    once = rows.groupBy("event_id").agg(F.min(F.struct("source", "record_pos", "text")).alias("x")).select("x.*")
-    once = with_layout(once.withColumn("_head", F.substring_index("text", "\n", 1)), "_head").drop("_head").withColumnRenamed("_layout", "layout")
+    once = _unsplit(events).groupBy("event_id").agg(F.min(F.struct("source", "record_pos", "text")).alias("x")).select("x.*")
+    once = with_layout(once.withColumn("_line", _head("text")), "_line", rules).drop("_line").withColumnRenamed("_layout", "layout")
     return with_fields(once.withColumn("line_count", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.operators import instants, intervals, key_counts, log_entries, snapshots
-from logweave.sources.tables import table
+from logweave.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    lines, events = table(spark, folder, "raw_lines"), table(spark, folder, "log_events")
-    return log_entries.found(log_entries.log_entries(lines)).unionByName(log_entries.found(log_entries.unsplit_entries(events)))
+    lines, events = spread(table(spark, folder, "raw_lines", "source", "line_no", "line")), table(spark, folder, "log_events")
+    rules = log_entries.rules_of(lines, events)
+    return log_entries.found(log_entries.log_entries(lines, rules=rules)).unionByName(log_entries.found(log_entries.unsplit_entries(events, rules)))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +29,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     services = table(spark, folder, "services")
     of_events = instants.normalised_event_times(table(spark, folder, "log_events"), services)
-    return of_events.unionByName(instants.normalised_record_times(log_entries.json_entries(table(spark, folder, "raw_lines")), services))
+    return of_events.unionByName(instants.normalised_record_times(log_entries.json_entries(spread(table(spark, folder, "raw_lines", "source", "line_no", "line"))), services))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found)}

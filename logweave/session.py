@@ -14,8 +14,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
-    # longer methods are never compiled by the JVM: such stages run operator by operator instead
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
